@@ -28,7 +28,7 @@ FORCE = T.StructType(
     [
         T.StructField("run_no", T.IntegerType()),
         T.StructField("path", T.StringType()),
-        T.StructField("arrived_at", T.TimestampType()),
+        T.StructField("arrived_at", T.TimestampNTZType()),
         T.StructField("feed_id", T.LongType()),
         T.StructField("size", T.LongType()),
         T.StructField("mtime_ms", T.LongType()),
@@ -92,11 +92,11 @@ class Ledger:
 @dataclass
 class Run:
     run_no: int
-    until_us: int  # microseconds since 1970
+    until: str  # a timestamp as text, in the feed's own kind of time
 
 
 def process_run(ledger: Ledger, feed: DataFrame, run: Run, fail_before_commit: bool = False) -> None:
-    """One run: whatever arrived up to ``run.until_us`` and hasn't been processed.
+    """One run: whatever arrived up to ``run.until`` and hasn't been processed.
 
     ``feed``: feed_id (the sequence number), path, size, mtime_ms, arrived_at;
     other columns are ignored.  Rows without feed_id, path or arrived_at can't
@@ -106,12 +106,13 @@ def process_run(ledger: Ledger, feed: DataFrame, run: Run, fail_before_commit: b
     done = ledger.attempts()
     if any(a["run_no"] == run.run_no for a in done):
         return
-    rows = feed.where(F.col("path").isNotNull() & F.col("feed_id").isNotNull() & (F.col("arrived_at") <= F.timestamp_micros(F.lit(run.until_us)))).select(
+    until = F.lit(run.until).cast(feed.schema["arrived_at"].dataType)
+    rows = feed.where(F.col("path").isNotNull() & F.col("feed_id").isNotNull() & (F.col("arrived_at") <= until)).select(
         "feed_id",
         "path",
         F.coalesce("size", F.lit(0)).cast("bigint").alias("size"),
         F.coalesce("mtime_ms", F.lit(0)).cast("bigint").alias("mtime_ms"),
-        "arrived_at",
+        F.col("arrived_at").cast("timestamp_ntz").alias("arrived_at"),
     )
     processed = ledger.processed(done)
     folder = f"run-{run.run_no}-{uuid.uuid4().hex[:12]}"
@@ -144,8 +145,8 @@ def process_run(ledger: Ledger, feed: DataFrame, run: Run, fail_before_commit: b
 def successful_runs(runs: DataFrame) -> list[Run]:
     """The runs with status ``ok`` and an end, in order; one row a run, so few."""
     ok = runs.where((F.col("run_status") == "ok") & F.col("finished_at").isNotNull() & F.col("run_no").isNotNull())
-    ends = ok.groupBy("run_no").agg(F.max(F.unix_micros("finished_at")).alias("until_us")).orderBy("until_us", "run_no")
-    return [Run(r.run_no, r.until_us) for r in ends.toLocalIterator()]
+    ends = ok.groupBy("run_no").agg(F.max("finished_at").alias("until")).orderBy("until", "run_no")
+    return [Run(r.run_no, r.until) for r in ends.select("run_no", F.col("until").cast("string").alias("until")).toLocalIterator()]
 
 
 def new_or_changed(feed: DataFrame, runs: DataFrame, root: str | None = None) -> DataFrame:
