@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.session import table
-from lodestack.llm import reading
+from lodestack.llm import leaks, reading
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +17,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.same_reading_pairs(rows)
 
 
-QUERIES = {"p3_found": p3_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+QUERIES = {"p3_found": p3_found, "p7_found": p7_found}
 SQL: dict[str, str] = {}
