@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.session import table
-from lodestack.llm import leaks, reading
+from lodestack.llm import langid, leaks, reading
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +21,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = langid.train(table(spark, sf_dir, "lang_sample"))
+    return langid.wrong_labels(table(spark, sf_dir, "documents"), net)
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = langid.train(table(spark, sf_dir, "lang_sample"))
+    return langid.language_segments(table(spark, sf_dir, "documents"), net)
+
+
+QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p8_found": p8_found, "p8_segments": p8_segments}
 SQL: dict[str, str] = {}
