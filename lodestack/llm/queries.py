@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.session import table
 from lodestack.llm import langid, leaks, reading
+from lodestack.llm.neardup import NearDuplicates
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.same_reading_pairs(rows)
 
 
+def _copies(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    return NearDuplicates(table(spark, sf_dir, "content_store"), n=4, threshold=0.6)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _copies(spark, sf_dir).row_pairs()
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _copies(spark, sf_dir).groups()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
@@ -31,5 +44,5 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_segments(table(spark, sf_dir, "documents"), net)
 
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p8_found": p8_found, "p8_segments": p8_segments}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p8_found": p8_found, "p8_segments": p8_segments}
 SQL: dict[str, str] = {}
