@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.session import table
-from lodestack.llm import langid, leaks, reading
+from lodestack.llm import langid, leaks, packing, reading
 from lodestack.llm.neardup import NearDuplicates
 
 
@@ -30,6 +30,10 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _copies(spark, sf_dir).groups()
 
 
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_spec"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
@@ -44,5 +48,5 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_segments(table(spark, sf_dir, "documents"), net)
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p8_found": p8_found, "p8_segments": p8_segments}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p6_packing": p6_packing, "p7_found": p7_found, "p8_found": p8_found, "p8_segments": p8_segments}
 SQL: dict[str, str] = {}
