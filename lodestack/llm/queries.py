@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.session import table
-from lodestack.llm import langid, leaks, packing, reading
+from pyspark.sql import functions as F
+
+from lodestack.llm import langid, leaks, mojibake, packing, reading
 from lodestack.llm.neardup import NearDuplicates
 
 
@@ -30,6 +32,21 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _copies(spark, sf_dir).groups()
 
 
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "content_store").select(F.lit("text").alias("src_field"), F.col("row_id").alias("rec_id"), "text")
+    names = table(spark, sf_dir, "name_record").select(F.lit("name").alias("src_field"), F.col("name_id").alias("rec_id"), F.col("name").alias("text"))
+    rows = texts.unionByName(names)
+    return mojibake.restored(rows, mojibake.learn(rows, table(spark, sf_dir, "lang_sample")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir).select("src_field", "rec_id").distinct()
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir)
+
+
 def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_spec"))
 
@@ -48,5 +65,5 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_segments(table(spark, sf_dir, "documents"), net)
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p6_packing": p6_packing, "p7_found": p7_found, "p8_found": p8_found, "p8_segments": p8_segments}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_restored": p5_restored, "p6_packing": p6_packing, "p7_found": p7_found, "p8_found": p8_found, "p8_segments": p8_segments}
 SQL: dict[str, str] = {}
