@@ -148,14 +148,17 @@ def snapshot_changes(rows: DataFrame, heads: DataFrame, version: int = 4, leaf_r
     leaves = materialize(leaf_digests(standing, depth), "leaves")
     found = differing_leaves(leaves, depth, last)
 
-    # each differing leaf asks for its rows of two snapshots
-    asked = found.select("list_name", "node", "pair", F.explode(F.array(F.lit(0), F.lit(1))).alias("back"))
-    asked = asked.select(F.col("list_name").alias("l"), "node", "pair", (F.col("pair") - F.col("back")).alias("o"), (F.col("back") == 0).alias("now"))
-    sides = standing.withColumn("leaf", leaf_of(F.col("path"), depth)).join(
-        asked,
-        (F.col("leaf") == F.col("node")) & (F.col("ord") == F.col("o")) & F.col("l").eqNullSafe(F.col("list_name")),
+    # each differing leaf asks for its rows of two snapshots; what it asks lies in one
+    # row a leaf, so rows meet it, and then one another, under one partitioning
+    asked = found.groupBy("node").agg(F.collect_set(F.struct(F.coalesce("list_name", F.lit("")).alias("l"), F.col("list_name").isNull().alias("none"), "pair")).alias("asked"))
+    own = lambda x: (x.l == F.coalesce("list_name", F.lit(""))) & (x.none == F.col("list_name").isNull()) & ((x.pair == F.col("ord")) | (x.pair == F.col("ord") + 1))
+    sides = (
+        standing.withColumn("node", leaf_of(F.col("path"), depth))
+        .join(asked, "node")
+        .select("node", "ord", "list_name", "path", "size", "mtime_ms", F.explode(F.filter("asked", own)).alias("x"))
+        .select("node", "list_name", "path", "size", "mtime_ms", "x.pair", (F.col("x.pair") == F.col("ord")).alias("now"))
     )
-    pairs = sides.groupBy("pair", "list_name", "path").agg(
+    pairs = sides.groupBy("node", "pair", "list_name", "path").agg(
         *(
             F.max(F.when(F.col("now") if side == "after" else ~F.col("now"), F.col(c))).alias(f"{c}_{side}")
             for side in ("after", "before")
