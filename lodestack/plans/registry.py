@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from lodestack.plans import maintenance
-
-MODULES = [maintenance]
+from lodestack.plans import catalog, catalog_sql, maintenance
 
 
 def queries() -> dict:
-    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
+    return {**catalog.QUERIES, **maintenance.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {name: q for m in MODULES for name, q in m.SQL.items()}
+    return {**catalog_sql.SQL, **maintenance.SQL}
