@@ -190,8 +190,12 @@ def canonical_text(text: str | None) -> str | None:
     f = forms()
     if f.unstable.search(text):
         text = f.segment.sub(_normalise, text)
-    if f.mixes.search(text):
-        text = f.word.sub(_resolve, text)
+    for _ in range(4):  # a letter put right may take up the accent behind it
+        if not f.mixes.search(text):
+            break
+        before, text = text, unicodedata.normalize("NFC", f.word.sub(_resolve, text))
+        if text == before:
+            break
     return text
 
 

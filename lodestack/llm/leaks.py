@@ -56,7 +56,7 @@ class Passages:
         return tk.ngrams(tk.Tokens(h, np.array([0, len(h)])), SEED)[0]
 
     def seeds(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted ``(seed, passage, position)``: in each window of a needed run, the rarest gram."""
+        """Sorted ``(seed, passage, position)``: in each window of a needed run, the rarest gram the corpus has."""
         out = []
         for k, grams in enumerate(self.where):
             seen = counts[np.searchsorted(self.grams, grams)]
@@ -64,8 +64,11 @@ class Passages:
             chosen = set()
             for i in range(len(grams) - width + 1):
                 window = range(i, i + width)
-                # of equally rare grams the one chosen before, then the last: fewer seeds
-                chosen.add(min(window, key=lambda j: (seen[j], j not in chosen, -j)))
+                # what the corpus lacks can't meet anything; of equally rare grams the one
+                # chosen before, then the last: fewer seeds
+                best = min(window, key=lambda j: (seen[j] == 0, seen[j], j not in chosen, -j))
+                if seen[best]:
+                    chosen.add(best)
             out += [(grams[j], k, j) for j in sorted(chosen)]
         out.sort()
         g = np.array([x[0] for x in out], np.uint64)
