@@ -17,17 +17,23 @@ UNICODE_SPACE = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028
 
 def lower_simple(c: Column) -> Column:
     """Lower case character by character: no context, no character becomes two."""
-    return F.lower(F.translate(c, "İΣ", "iσ"))
+    return F.lower(F.when(c.rlike("[İΣ]"), F.translate(c, "İΣ", "iσ")).otherwise(c))
 
 
 def sanitize(c: Column) -> Column:
-    """Vertical tabs, form feeds and the Unicode line ends become line feeds; what can't be shown goes."""
-    return F.regexp_replace(F.translate(c, "\x0b\x0c  ", "\n\n\n\n"), DROPPED, "")
+    """Vertical tabs, form feeds and the Unicode line ends become line feeds; what can't be shown goes.
+
+    Texts without what the cheap tests look for are passed on untouched.
+    """
+    lines = F.when(c.rlike(r"[\x0b\x0c\x{2028}\x{2029}]"), F.translate(c, "\x0b\x0c\u2028\u2029", "\n\n\n\n")).otherwise(c)
+    basic, beyond = DROPPED.split(r"\x{FFFE}")[0] + r"\x{FFFE}\x{FFFF}]", r"[\x{10000}-\x{10FFFF}]"
+    suspect = lines.rlike(f"{basic}|{beyond}")
+    return F.when(suspect, F.regexp_replace(lines, DROPPED, "")).otherwise(lines)
 
 
 def normalize_for_store(c: Column) -> Column:
     """One kind of line end, then ``sanitize``."""
-    return sanitize(F.regexp_replace(c, "\r\n?", "\n"))
+    return sanitize(F.when(F.contains(c, F.lit("\r")), F.regexp_replace(c, "\r\n?", "\n")).otherwise(c))
 
 
 def is_blank(c: Column) -> Column:
