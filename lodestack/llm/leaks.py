@@ -90,23 +90,53 @@ def _member(found: np.ndarray, grams: np.ndarray, bits: np.ndarray) -> np.ndarra
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Best Smith-Waterman score of two token sequences, and their longest exact run.
+    """Best Smith-Waterman score of two token sequences, and their longest exact run."""
+    return align_many([(a, b)])[0]
 
-    One row at a time; gaps along a row are a running maximum.
+
+def align_many(pairs: list[tuple[np.ndarray, np.ndarray]], block: int = 64) -> list[tuple[int, int]]:
+    """``align`` of many pairs, those of like length side by side.
+
+    One row of all tables at a time; gaps along a row are a running maximum.
+    Shorter sequences are filled up with tokens that match nothing.
     """
-    best = longest = 0
-    slope = np.arange(1, len(b) + 1, dtype=np.int32) * -GAP
-    row = np.zeros(len(b) + 1, np.int32)
-    run = np.zeros(len(b) + 1, np.int32)
-    for token in a:
-        same = b == token
-        step = np.maximum(row[:-1] + np.where(same, MATCH, MISMATCH), row[1:] + GAP)
-        np.maximum(step, 0, out=step)
-        row[1:] = np.maximum.accumulate(step + slope) - slope
-        run[1:] = np.where(same, run[:-1] + 1, 0)
-        best = max(best, int(row.max()))
-        longest = max(longest, int(run.max()))
-    return best, longest
+    out: list[tuple[int, int]] = [(0, 0)] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
+    for i in range(0, len(order), block):
+        part = order[i : i + block]
+        n = max(len(pairs[k][1]) for k in part)
+        m = max(len(pairs[k][0]) for k in part)
+        if not n or not m:
+            continue
+        a, used_a = np.zeros((m, len(part)), np.uint64), np.zeros((m, len(part)), bool)
+        b, used_b = np.zeros((len(part), n), np.uint64), np.zeros((len(part), n), bool)
+        for j, k in enumerate(part):
+            used_a[: len(pairs[k][0]), j] = True
+            used_b[j, : len(pairs[k][1])] = True
+            a[: len(pairs[k][0]), j] = pairs[k][0]
+            b[j, : len(pairs[k][1])] = pairs[k][1]
+        slope = np.arange(1, n + 1, dtype=np.int32) * -GAP
+        row, run = np.zeros((len(part), n + 1), np.int32), np.zeros((len(part), n + 1), np.int32)
+        top, longest, step = (np.zeros((len(part), n), np.int32) for _ in range(3))
+        for tokens, used in zip(a, used_a):
+            same = b == tokens[:, None]
+            same &= used_b
+            same &= used[:, None]
+            np.multiply(same, MATCH - MISMATCH, out=step)
+            step += MISMATCH
+            step += row[:, :-1]
+            np.maximum(step, row[:, 1:] + GAP, out=step)
+            np.maximum(step, 0, out=step)
+            step += slope
+            np.maximum.accumulate(step, axis=1, out=step)
+            step -= slope
+            row[:, 1:] = step
+            np.maximum(top, step, out=top)
+            run[:, 1:] = (run[:, :-1] + 1) * same
+            np.maximum(longest, run[:, 1:], out=longest)
+        for k, x, y in zip(part, top.max(1), longest.max(1)):
+            out[k] = (int(x), int(y))
+    return out
 
 
 def _texts(batch: pa.RecordBatch, column: str) -> list:
@@ -130,11 +160,15 @@ def _count(shared) -> callable:
     return run
 
 
-def _windows(at: np.ndarray, length: int, size: int) -> list[tuple[int, int]]:
-    """Stretches of a document around the places where an item may begin or end."""
+def _windows(begin: np.ndarray, length: int, size: int) -> list[tuple[int, int]]:
+    """Stretches of a document that an item may cover, if it began at ``begin``.
+
+    A quarter of the item is left on each side for insertions.
+    """
+    slack = max(8, length // 4)
     out: list[list[int]] = []
-    for p in np.sort(at):
-        lo, hi = max(0, int(p) - length), min(size, int(p) + SEED + length)
+    for p in np.unique(begin):
+        lo, hi = max(0, int(p) - slack), min(size, int(p) + length + slack)
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:
@@ -144,7 +178,7 @@ def _windows(at: np.ndarray, length: int, size: int) -> list[tuple[int, int]]:
 
 def _match(shared, id_col: str) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, owner, passages, items, need = shared.value
+        grams, owner, place, passages, items, need = shared.value
         once = np.unique(grams)
         bits = _filter(once)
         for batch in batches:
@@ -159,24 +193,32 @@ def _match(shared, id_col: str) -> callable:
                     continue
                 index = np.repeat(hit, hi - lo)
                 offset = np.arange(len(index)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-                who = owner[np.repeat(lo, hi - lo) + offset]
+                seed = np.repeat(lo, hi - lo) + offset
+                who = owner[seed]
                 pair = doc[index] * len(passages) + who
                 order = np.argsort(pair, kind="stable")
                 cuts = np.flatnonzero(np.diff(pair[order])) + 1
-                done: dict[tuple[bytes, int], tuple[int, int]] = {}  # copies within a slice are aligned once
+                wanted: dict[tuple[bytes, int], int] = {}  # copies within a slice are aligned once
+                tasks: list[tuple[np.ndarray, np.ndarray]] = []
+                found: list[tuple[int, int, list[int]]] = []
                 for part in np.split(order, cuts):
                     d, p = divmod(int(pair[part[0]]), len(passages))
                     if ids[i + d] is None:
                         continue
                     first = t.starts[d]
                     size = int(t.starts[d + 1] - first)
-                    best = longest = 0
-                    for a, b in _windows(pos[index[part]] - first, len(passages[p]), size):
+                    own = []
+                    for a, b in _windows(pos[index[part]] - first - place[seed[part]], len(passages[p]), size):
                         piece = t.hashes[first + a : first + b]
                         key = (piece.tobytes(), p)
-                        if key not in done:
-                            done[key] = align(passages[p], piece)
-                        best, longest = max(best, done[key][0]), max(longest, done[key][1])
+                        if key not in wanted:
+                            wanted[key] = len(tasks)
+                            tasks.append((passages[p], piece))
+                        own.append(wanted[key])
+                    found.append((d, p, own))
+                scores = align_many(tasks)
+                for d, p, own in found:
+                    best, longest = (max(scores[k][n] for k in own) for n in (0, 1))
                     for item in items[p]:
                         for k, v in zip(out, (ids[i + d], item, best, best / (MATCH * len(passages[p])), longest, need[p])):
                             out[k].append(v)
@@ -219,8 +261,8 @@ def leaks(documents: DataFrame, items: DataFrame, need: dict[str, int] | None =
             counts = np.zeros(len(passages.grams), np.int64)
             for r in counted.toLocalIterator():  # no more rows than the block has n-grams
                 counts[np.searchsorted(passages.grams, np.uint64(r.gram % (1 << 64)))] = r.n
-            seeds, owner, _ = passages.seeds(counts)
-            sent = spark.sparkContext.broadcast((seeds, owner, passages.tokens, passages.items, passages.need))
+            seeds, owner, place = passages.seeds(counts)
+            sent = spark.sparkContext.broadcast((seeds, owner, place, passages.tokens, passages.items, passages.need))
             part = docs.mapInArrow(_match(sent, "doc_id"), _DDL)
         found = part if found is None else found.unionByName(part)
     return found
