@@ -58,6 +58,24 @@ def test_garbled(spark, samples):
     assert mojibake.restored(empty, mojibake.learn(empty, lang)).count() == 0
 
 
+def test_accents_read_in_wide_pages(spark, samples):
+    """Common Han and kana inside Latin words, and Han that stand for Cyrillic letters."""
+    bad = ["f茅rias_carta44.docx", "lecci贸n_borrador.pdf", "reuni贸nlecci贸n82.zip", "r茅unionfacture 176e.pdf", "w盲hrend des Fr眉hjahrsputzes", "ser谩 a pr贸pria", "斜械蟹 写芯屑邪"]
+    good = ["férias_carta44.docx", "lección_borrador.pdf", "reuniónlección82.zip", "réunionfacture 176e.pdf", "während des Frühjahrsputzes", "será a própria", "без дома"]
+    clean = ["PDF文件", "A4纸", "报告final版.docx", "documentation_final版.pdf", "笔记 瑾泉.apk", "T恤 和 K歌", "謝謝 第 3 章", "Excelの表", "カードk12"]
+    df = spark.createDataFrame([("t", i, t) for i, t in enumerate(bad + clean)], "src_field string, rec_id bigint, text string")
+    lang = spark.createDataFrame([(i, t) for i, _, t in samples], "sample_id int, text string")
+    out = {r.rec_id: r.restored for r in mojibake.restored(df, mojibake.learn(df, lang)).collect()}
+    assert out == dict(enumerate(good))
+    reader = mojibake.Reader(mojibake.Language([t for *_, t in samples]))
+    for page in ("gbk", "cp932", "big5", "euc-jp"):
+        for word in ("während", "reunião"):
+            shown = codepages.decode(word.encode(), page)
+            if shown is not None:
+                assert reader.suspects([shown]) and reader.read([shown])[0][0] == word
+    assert reader.read(["B黵o"])[0][0] == "Büro"  # no sequence of UTF-8 is whole in it
+
+
 # --- packing ---------------------------------------------------------------------
 
 
