@@ -18,42 +18,42 @@ def last_of(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, *(F.col(f"r.{c}").alias(c) for c in [order, *others])).select(*rows.columns)
 
 
-def differences(new: DataFrame, old: DataFrame) -> DataFrame:
-    """``(path, size, mtime_ms, status)``: added, updated, removed or unchanged.
+def differences(new: DataFrame, old: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """``(*keys, size, mtime_ms, status)``: added, updated, removed or unchanged.
 
-    Both sides have one row a path.  A removed path shows its old size and time.
+    Both sides have one row a key.  A removed path shows its old size and time.
     """
-    side = lambda df, n: df.select("path", F.coalesce("size", F.lit(0)).alias(f"size_{n}"), F.coalesce("mtime_ms", F.lit(0)).alias(f"mtime_{n}"))
-    both = side(new, "new").join(side(old, "old"), "path", "full_outer")
+    side = lambda df, n: df.select(*keys, F.coalesce("size", F.lit(0)).alias(f"size_{n}"), F.coalesce("mtime_ms", F.lit(0)).alias(f"mtime_{n}"))
+    both = side(new, "new").join(side(old, "old"), list(keys), "full_outer")
     same = (F.col("size_new") == F.col("size_old")) & (F.col("mtime_new") == F.col("mtime_old"))
     status = (
         F.when(F.col("size_old").isNull(), "added").when(F.col("size_new").isNull(), "removed").when(same, "unchanged").otherwise("updated")
     )
-    return both.select("path", F.coalesce("size_new", "size_old").alias("size"), F.coalesce("mtime_new", "mtime_old").alias("mtime_ms"), status.alias("status"))
+    return both.select(*keys, F.coalesce("size_new", "size_old").alias("size"), F.coalesce("mtime_new", "mtime_old").alias("mtime_ms"), status.alias("status"))
 
 
-def removed(old: DataFrame, seen: DataFrame) -> DataFrame:
-    return old.join(seen.select("path"), "path", "left_anti")
+def removed(old: DataFrame, seen: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    return old.join(seen.select(*keys), list(keys), "left_anti")
 
 
 def kept(old: DataFrame, seen: DataFrame) -> DataFrame:
     return old.join(seen.select("path").distinct(), "path", "left_semi")
 
 
-def parse_queue(diff: DataFrame, content: DataFrame) -> DataFrame:
-    """``(path, size, reason)`` of files whose text has to be extracted.
+def parse_queue(diff: DataFrame, content: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """``(*keys, size, reason)`` of files whose text has to be extracted.
 
     Added and updated documents, and unchanged ones that have no text yet.
     """
     docs = diff.where("status <> 'removed'").where(P.parse_kind(F.col("path"), F.col("size")) != "none")
-    fresh = docs.where("status in ('added', 'updated')").select("path", "size", F.col("status").alias("reason"))
+    fresh = docs.where("status in ('added', 'updated')").select(*keys, "size", F.col("status").alias("reason"))
     lacking = docs.where("status = 'unchanged'").join(content.select("path"), "path", "left_anti")
-    return fresh.unionByName(lacking.select("path", "size", F.lit("backfill").alias("reason")))
+    return fresh.unionByName(lacking.select(*keys, "size", F.lit("backfill").alias("reason")))
 
 
-def stale_content(diff: DataFrame, content: DataFrame) -> DataFrame:
-    """Paths whose stored text no longer holds: removed or updated files, whatever their size now."""
-    return content.select("path").join(diff.where("status in ('removed', 'updated')").select("path"), "path", "left_semi")
+def stale_content(diff: DataFrame, content: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """Keys of ``diff`` whose stored text no longer holds: removed or updated files, whatever their size now."""
+    return diff.where("status in ('removed', 'updated')").select(*keys).join(content.select("path"), "path", "left_semi").select(*keys)
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = "path") -> DataFrame:

@@ -9,6 +9,7 @@ from lodestack.functions import paths as P
 from lodestack.functions import text as X
 from lodestack.operators import refresh as R
 from lodestack.operators import search as S
+from lodestack.operators.snapshots import delivery_order, standing_rows
 from lodestack.plans.query_language import limit_of, parse_log, parse_query
 from lodestack.session import table
 
@@ -217,6 +218,54 @@ def full_refresh(spark: SparkSession, d: str) -> DataFrame:
     return external.unionByName(scanned)
 
 
+#: What tells the rows of several deliveries and lists apart.
+KEYS = ("snap_id", "list_name", "path")
+
+
+def _deliveries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both lists of all valid deliveries: old and new rows of every consecutive pair under the later snap_id, and the rows of all."""
+    order = delivery_order(table(spark, d, "snapshot_head"))
+    rows = standing_rows(table(spark, d, "catalog_snapshot").where("list_name in ('names', 'dirs')"), F.broadcast(order))
+    under = lambda ids: rows.join(F.broadcast(ids), "ord").select(*KEYS, "size", "mtime_ms")
+    return under(order.select((F.col("ord") - 1).alias("ord"), "snap_id")), under(order.where("ord > 1")), under(order)
+
+
+def incremental_diff_all(spark: SparkSession, d: str) -> DataFrame:
+    old, new, _ = _deliveries(spark, d)
+    return R.differences(new, old, KEYS)
+
+
+def scan_stats_all(spark: SparkSession, d: str) -> DataFrame:
+    return incremental_diff_all(spark, d).groupBy("snap_id", "list_name", "status").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+def removed_paths_all(spark: SparkSession, d: str) -> DataFrame:
+    old, new, _ = _deliveries(spark, d)
+    return R.removed(old, new, KEYS).select(*KEYS)
+
+
+def backfill_docs_all(spark: SparkSession, d: str) -> DataFrame:
+    return R.parse_queue(incremental_diff_all(spark, d), _content(spark, d), KEYS)
+
+
+def stale_content_all(spark: SparkSession, d: str) -> DataFrame:
+    return R.stale_content(incremental_diff_all(spark, d), _content(spark, d), KEYS)
+
+
+def upsert_all(spark: SparkSession, d: str) -> DataFrame:
+    old, new, _ = _deliveries(spark, d)
+    return R.upsert(old, new, list(KEYS))  # an unchanged row replaces itself, so no difference is needed
+
+
+def full_refresh_all(spark: SparkSession, d: str) -> DataFrame:
+    """Each delivery, the first too, as a full scan; external folders go with the list of folders."""
+    *_, scanned = _deliveries(spark, d)
+    ids = delivery_order(table(spark, d, "snapshot_head")).select("snap_id")
+    external = _catalog(spark, d).where("origin = 'external'").withColumn("list_name", F.when(F.col("kind") == "folder", "dirs").otherwise("names"))
+    external = external.crossJoin(F.broadcast(ids)).select(*KEYS, "size", "mtime_ms", "origin")
+    return external.unionByName(scanned.withColumn("origin", F.lit("main")))
+
+
 def dedup_last(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "content_store").select("path", "row_id", F.length("text").cast("bigint").alias("chars"))
     return R.last_of(rows, "path", "row_id")
@@ -267,6 +316,6 @@ QUERIES = {
         name_search, name_rank, path_parts, lower_names, name_bigrams, type_filter, dir_filter, ext_type_stats, ui_category, prune_dirs, parse_gate,
         normalize_text, truncate_bytes, content_search, content_rank, content_enrich, snippet, gram_index, gram_candidates, word_tf, search_totals,
         search_merged, quota_union, tab_views, ui_sort, parsed_queries, incremental_diff, scan_stats, removed_paths, backfill_docs, stale_content,
-        upsert, full_refresh, dedup_last, remove_paths, remove_tree, external_feed, display_format, ext_rollup, ext_event_windows, ext_sessions,
+        upsert, full_refresh, incremental_diff_all, scan_stats_all, removed_paths_all, backfill_docs_all, stale_content_all, upsert_all, full_refresh_all, dedup_last, remove_paths, remove_tree, external_feed, display_format, ext_rollup, ext_event_windows, ext_sessions,
     )
 }

@@ -126,6 +126,20 @@ _TWO = """
                  when n.size = o.size and n.mtime_ms = o.mtime_ms then 'unchanged' else 'updated' end as status
         from n full join o on n.path = o.path)"""
 
+#: The same over every pair of consecutive valid deliveries and both lists.
+_ALL = """
+    heads as (select snap_id, row_number() over (order by max(saved_at), snap_id) as ord
+              from snapshot_head where snap_version = 4 and snap_id is not null and saved_at is not null group by snap_id),
+    standing as (select ord, list_name, path, arg_max(coalesce(size, 0), row_no) as size, arg_max(coalesce(mtime_ms, 0), row_no) as mtime_ms
+          from catalog_snapshot join heads using (snap_id) where list_name in ('names', 'dirs') and path not like '%/' group by ord, list_name, path),
+    o as (select heads.snap_id, list_name, path, size, mtime_ms from standing join heads on heads.ord = standing.ord + 1),
+    n as (select heads.snap_id, list_name, path, size, mtime_ms from standing join heads using (ord) where ord > 1),
+    diff as (
+        select snap_id, list_name, path, coalesce(n.size, o.size) as size, coalesce(n.mtime_ms, o.mtime_ms) as mtime_ms,
+            case when o.size is null then 'added' when n.size is null then 'removed'
+                 when n.size = o.size and n.mtime_ms = o.mtime_ms then 'unchanged' else 'updated' end as status
+        from n full join o using (snap_id, list_name, path))"""
+
 _ODD = "case when length(path) % 7 = 0 then '/.cache' when length(path) % 11 = 0 then '/Android/data' when length(path) % 13 = 0 then '/lost+found' else '' end"
 
 SQL = {
@@ -188,6 +202,17 @@ SQL = {
     "stale_content": f"with {_TWO}, {_CON} select path from con where path in (select path from diff where status in ('removed', 'updated'))",
     "upsert": f"with {_TWO} select path, size, mtime_ms from diff",
     "full_refresh": f"with {_TWO}, {_CAT} select path, size, mtime_ms, origin from cat where origin = 'external' union all select path, size, mtime_ms, 'main' from n",
+    "incremental_diff_all": f"with {_ALL} select * from diff",
+    "scan_stats_all": f"with {_ALL} select snap_id, list_name, status, count(*) as n, sum(size)::bigint as bytes from diff group by all",
+    "removed_paths_all": f"with {_ALL} select snap_id, list_name, path from diff where status = 'removed'",
+    "backfill_docs_all": f"""with {_ALL}, {_CON}, docs as (select * from diff where status <> 'removed' and {_PARSER} <> 'none')
+        select snap_id, list_name, path, size, case status when 'unchanged' then 'backfill' else status end as reason from docs
+        where status <> 'unchanged' or path not in (select path from con)""",
+    "stale_content_all": f"with {_ALL}, {_CON} select snap_id, list_name, path from diff where status in ('removed', 'updated') and path in (select path from con)",
+    "upsert_all": f"with {_ALL} select snap_id, list_name, path, size, mtime_ms from diff",
+    "full_refresh_all": f"""with {_ALL}, {_CAT} select snap_id, case kind when 'folder' then 'dirs' else 'names' end as list_name, path, size, mtime_ms, origin
+        from cat cross join heads where origin = 'external'
+        union all select snap_id, list_name, path, size, mtime_ms, 'main' from standing join heads using (ord)""",
     "dedup_last": "select path, max(row_id) as row_id, arg_max({'c': length(text)}, row_id).c as chars from content_store where path is not null group by path",
     "remove_paths": f"""with {_CAT}, {_CON} select count(distinct path) as removed from scan_feed
         where path in (select path from cat) or path in (select path from con)""",
