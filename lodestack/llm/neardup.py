@@ -13,6 +13,7 @@ with a posting.  What reaches the threshold is checked on the token sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,9 @@ COORDS = 40
 #: Of 40 coordinates a pair of similarity 0.6 agrees in 14 or more with a
 #: probability of 0.999, one of 0.66 with 0.99998.
 AGREE = 14
+#: Lower thresholds ask for fewer, so that a pair at the threshold is met with
+#: this probability.
+MET = 0.999
 SKETCH_BITS = 20
 #: A posting list longer than this is split over several tasks.
 HOT = 4096
@@ -36,6 +40,14 @@ _A = _SEED.integers(0, 1 << 62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uin
 _B = _SEED.integers(0, 1 << 63, COORDS, dtype=np.uint64)
 
 
+def agreement(threshold: float) -> int:
+    """Coordinates a pair of that similarity agrees in with probability ``MET``, at most ``AGREE``."""
+    tail = lambda least: sum(math.comb(COORDS, k) * threshold**k * (1 - threshold) ** (COORDS - k) for k in range(least, COORDS + 1))
+    if not 0 < threshold <= 1 or tail(1) < MET:
+        raise ValueError(f"{COORDS} coordinates can't find pairs of similarity {threshold}")
+    return max(a for a in range(1, AGREE + 1) if tail(a) >= MET)
+
+
 def shingle_sets(texts: list, n: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
     out: list[np.ndarray] = []
@@ -104,10 +116,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"slot": pa.array(some), "n": pa.array(total[some])})
 
 
-def _post(shared) -> callable:
+def _post(shared, agree: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = shared.value
-        prefix = COORDS - AGREE + 1
+        prefix = COORDS - agree + 1
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -164,6 +176,7 @@ class NearDuplicates:
     """
 
     def __init__(self, rows: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "row_id", text_col: str = "text"):
+        agree = agreement(threshold)
         spark = rows.sparkSession
         texts = rows.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("text"))
         texts = texts.where(F.col("row_id").isNotNull() & F.col("text").isNotNull())
@@ -180,12 +193,12 @@ class NearDuplicates:
         sketch[counted.slot.to_numpy(np.int64)] = counted.n.to_numpy(np.int64)
         shared = spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
         packs = [f"s{k}" for k in range(COORDS // 8)]
-        posts = heads.select("row_id", "sig").mapInArrow(_post(shared), "slot bigint, n int, row_id bigint, " + ", ".join(f"{p} bigint" for p in packs))
+        posts = heads.select("row_id", "sig").mapInArrow(_post(shared, agree), "slot bigint, n int, row_id bigint, " + ", ".join(f"{p} bigint" for p in packs))
         parts = F.ceil(F.col("n") / HOT).cast("int")
         left = posts.withColumn("part", F.pmod(F.xxhash64("row_id"), parts).cast("int")).alias("a")
         right = posts.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("b")
         met = left.join(
-            right, (F.col("a.slot") == F.col("b.slot")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.row_id") < F.col("b.row_id")) & (_agreeing() >= AGREE)
+            right, (F.col("a.slot") == F.col("b.slot")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.row_id") < F.col("b.row_id")) & (_agreeing() >= agree)
         )
         candidates = materialize(met.select(F.col("a.row_id").alias("class_a"), F.col("b.row_id").alias("class_b")).distinct(), "candidates")
 

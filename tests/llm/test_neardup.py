@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from lodestack.llm import neardup as nd
 
 DDL = "row_id bigint, text string, class_id int, sig string"
@@ -62,6 +63,19 @@ def test_default_is_five_words_and_four_fifths(spark):
     assert {(r.row_a, r.row_b) for r in nd.NearDuplicates(frame(spark, rows)).row_pairs().collect()} == brute(rows, 5, 0.8)
 
 
+def test_low_thresholds(spark):
+    assert [nd.agreement(t) for t in (0.8, 0.6, 0.5, 0.4)] == [14, 14, 10, 7]
+    rows = []
+    for i in range(150):  # pairs of similarity 0.4
+        head, tails = [f"h{i}x{k}" for k in range(43)], [[f"t{i}x{j}x{k}" for k in range(30)] for j in (0, 1)]
+        rows += [(2 * i + j, " ".join(head + tails[j])) for j in (0, 1)]
+    want = brute(rows, 4, 0.4)
+    assert len(want) == 150
+    assert {(r.row_a, r.row_b) for r in nd.NearDuplicates(frame(spark, rows), n=4, threshold=0.4).row_pairs().collect()} == want
+    with pytest.raises(ValueError):
+        nd.NearDuplicates(frame(spark, rows), threshold=0.1)
+
+
 def test_odd_rows(spark):
     long = " ".join(f"t{i}" for i in range(60_000))
     rows = [(1, "a b"), (2, "A  b!"), (3, "b a"), (4, None), (None, "a b"), (5, ""), (6, " \n"), (7, "…"), (8, long), (9, long + " end"), (1, "a b"), (10, "a b c d e f g h"), (11, "a b c d e f g h")]
