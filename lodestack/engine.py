@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from lodestack import API_VERSION, __version__
 from lodestack.functions import paths as P
-from lodestack.functions import text as X
 from lodestack.operators import refresh as R
 from lodestack.operators import search as S
 from lodestack.plans.query_language import QueryError, checked, limit_of
@@ -21,7 +20,7 @@ from lodestack.session import materialize
 from lodestack.sources import ingest as I
 from lodestack.sources import walker
 from lodestack.sources.extract import columns as extraction
-from lodestack.store import Store
+from lodestack.store import BUCKETS, Store
 
 # fixed values
 CACHE_SECONDS, CACHE_ENTRIES, CACHE_BYTES = 3.0, 8, 524_288
@@ -76,13 +75,16 @@ class Engine:
     spark: SparkSession
     data_dir: str
     listener: Callable[[str, dict], None] | None = None
+    #: Buckets of a new store: a change rewrites those it touches.
+    buckets: int = BUCKETS
     _stats: Stats = field(default_factory=Stats)
     _cache: dict = field(default_factory=dict)
     _scanning: bool = False
     _closed: bool = False
 
     def __post_init__(self) -> None:
-        self.store = Store(self.spark, self.data_dir)
+        self.store = Store(self.spark, self.data_dir, self.buckets)
+        self.parsers = dict(extraction.PARSERS)
 
     version = __version__
     abi_version = API_VERSION
@@ -123,7 +125,8 @@ class Engine:
         self.spark.sparkContext.cancelJobGroup("lodestack-scan")
 
     def register_parser(self, ext: str, parser: Callable[[bytes], str | None]) -> None:
-        extraction.register_parser(ext, parser)
+        """A parser of this engine; others keep theirs."""
+        self.parsers[ext if ext.startswith(".") else f".{ext}"] = parser
 
     def scan(self, options: ScanOptions | str) -> Stats:
         """Walk the roots and bring the tables up to date.
@@ -177,24 +180,22 @@ class Engine:
         queue = materialize(R.parse_queue(diff, content.limit(0) if full else content), "queue")
         stats.docs_found = queue.count()
         self._tell("progress", files=seen.count(), docs=stats.docs_found)
-        texts = extraction.texts_at(queue).select("path", S.stored_text(F.col("text")).alias("text")).where(~X.is_blank(F.col("text")))
-        texts = materialize(texts.withColumn("text_lower", X.lower_simple(F.col("text"))), "texts")
+        texts = materialize(S.stored_content(extraction.texts_at(queue, self.parsers)), "texts")
         stats.docs_indexed = texts.count()
         folders_changed = full or bool(seen.where("kind = 'folder'").select("path").exceptAll(base.where("kind = 'folder'").select("path")).limit(1).count())
         if not full and not stats.first_build and not (stats.added or stats.updated or stats.removed or stats.docs_indexed or folders_changed):
             stats.files = seen.where("kind = 'file'").count()
             stats.indexed, stats.external = content.count(), old_all.where("origin = 'external'").count()
             return
-        named = seen.select(
-            "path", P.base_name(F.col("path")).alias("name"), X.lower_simple(P.base_name(F.col("path"))).alias("name_lower"), "size", "mtime_ms", "kind", F.lit("main").alias("origin")
-        )
-        catalog = named.unionByName(outside).unionByName(old_all.where("origin = 'external'"))
+        named = S.stored_catalog(seen.select("path", P.base_name(F.col("path")).alias("name"), "size", "mtime_ms", "kind", F.lit("main").alias("origin")))
         if full:
-            fresh = texts
+            self.store.write({"catalog": named.unionByName(old_all.where("origin = 'external'")), "content": texts})
         else:
-            gone = R.stale_content(diff, content)
-            fresh = R.upsert(R.without(content, gone), texts)
-        self.store.write({"catalog": catalog, "content": fresh})
+            # what is as it was stays where it is: only the buckets of what changed are written
+            same = within.select("path", "size", "mtime_ms", "kind")
+            moved = materialize(named.join(same, ["path", "size", "mtime_ms", "kind"], "left_anti"), "moved")
+            gone = materialize(within.join(seen.select("path"), "path", "left_anti").select("path"), "gone")
+            self.store.change({"catalog": moved, "content": texts}, gone, materialize(R.stale_content(diff, content), "stale"))
         now = self.catalog()
         stats.files = now.where("origin = 'main' and kind = 'file'").count()
         stats.external = now.where("origin = 'external'").count()
@@ -213,7 +214,7 @@ class Engine:
         self._open()
         f = checked(query)
         catalog = self.catalog()
-        b = S.branches(catalog, self.content(), f, filter_external)
+        b = S.branches(catalog, self.content(), f, filter_external, self.store.read("grams"))
         hits = S.merged(b, catalog, limit_of(limit), S.content_terms(f.joined))
         return hits.orderBy("pos").select("pos", *S.HIT), S.totals(b)
 
@@ -244,7 +245,7 @@ class Engine:
         catalog, content = self.catalog(), self.content()
         n = R.removal_count(asked, catalog, content).first()[0]
         if n:
-            self.store.write({"catalog": R.without(catalog, asked), "content": R.without(content, asked)})
+            self.store.change({}, asked.where("path is not null").select("path").distinct())
             self._cache.clear()
         return n
 
@@ -256,9 +257,7 @@ class Engine:
     def add_document_text(self, path: str, text: str) -> None:
         if not path or not text.strip():
             raise QueryError("a path and a text are needed")
-        row = self.spark.createDataFrame([(path, text)], "path string, text string").select("path", S.stored_text(F.col("text")).alias("text"))
-        row = row.where(~X.is_blank(F.col("text"))).withColumn("text_lower", X.lower_simple(F.col("text")))
-        self.store.write({"content": R.upsert(self.content(), row)})
+        self.store.change({"content": S.stored_content(self.spark.createDataFrame([(path, text)], "path string, text string"))})
         self._cache.clear()
 
     def ingest(self, entries: str | DataFrame, mode: str = "replace") -> Stats:
@@ -269,11 +268,9 @@ class Engine:
         catalog, texts = I.catalog_rows(rows), I.content_rows(rows)
         old = self.catalog()
         if mode == "merge":
-            catalog = R.upsert(old, catalog)
-            texts = R.upsert(self.content(), texts)
+            self.store.change({"catalog": materialize(catalog, "catalog"), "content": materialize(texts, "texts")})
         else:
-            catalog = catalog.unionByName(old.where("origin = 'external'"))
-        self.store.write({"catalog": catalog, "content": texts})
+            self.store.write({"catalog": catalog.unionByName(old.where("origin = 'external'")), "content": texts})
         now = self.catalog()
         self._stats = Stats(
             files=now.where("origin = 'main' and kind = 'file'").count(),
@@ -306,4 +303,4 @@ class Engine:
         if len(data) > extraction.MOST_FILE:
             raise QueryError("the document is too large")
         ext = "." + name.rpartition(".")[2].lower() if "." in name else ""
-        return extraction.extract(ext, data) or ""
+        return extraction.extract(ext, data, self.parsers) or ""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ MAX_TEXT_BYTES = 1_048_576
 DROPPED = r"[\x{0}-\x{8}\x{E}-\x{1F}\x{7F}-\x{9F}\x{FFFD}\x{E000}-\x{F8FF}\x{FDD0}-\x{FDEF}" + "".join(rf"\x{{{p * 0x10000 + 0xFFFE:X}}}\x{{{p * 0x10000 + 0xFFFF:X}}}" for p in range(17)) + "]"
 #: What separates the terms of a content query.
 UNICODE_SPACE = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACE_PY = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", UNICODE_SPACE)
 
 
 def lower_simple(c: Column) -> Column:
@@ -20,20 +23,34 @@ def lower_simple(c: Column) -> Column:
     return F.lower(F.when(c.rlike("[İΣ]"), F.translate(c, "İΣ", "iσ")).otherwise(c))
 
 
+def once(c: Column) -> Column:
+    """A column whose expression the optimizer won't copy into what is built on it."""
+    return F.explode(F.array(c))
+
+
 def sanitize(c: Column) -> Column:
     """Vertical tabs, form feeds and the Unicode line ends become line feeds; what can't be shown goes.
 
-    Texts without what the cheap tests look for are passed on untouched.
+    ``c`` occurs once in the result, so chains of these stay as long as they look.
     """
-    lines = F.when(c.rlike(r"[\x0b\x0c\x{2028}\x{2029}]"), F.translate(c, "\x0b\x0c\u2028\u2029", "\n\n\n\n")).otherwise(c)
-    basic, beyond = DROPPED.split(r"\x{FFFE}")[0] + r"\x{FFFE}\x{FFFF}]", r"[\x{10000}-\x{10FFFF}]"
-    suspect = lines.rlike(f"{basic}|{beyond}")
-    return F.when(suspect, F.regexp_replace(lines, DROPPED, "")).otherwise(lines)
+    return F.regexp_replace(F.translate(c, "\x0b\x0c\u2028\u2029", "\n\n\n\n"), DROPPED, "")
 
 
 def normalize_for_store(c: Column) -> Column:
     """One kind of line end, then ``sanitize``."""
-    return sanitize(F.when(F.contains(c, F.lit("\r")), F.regexp_replace(c, "\r\n?", "\n")).otherwise(c))
+    return sanitize(F.regexp_replace(c, "\r\n?", "\n"))
+
+
+def stored_form(text: str) -> str:
+    """``normalize_for_store`` of a single text, for queries."""
+    text = re.sub("\r\n?", "\n", text).translate(dict.fromkeys((0x0B, 0x0C, 0x2028, 0x2029), "\n"))
+    return "".join(ch for ch in text if not _dropped(ord(ch)))
+
+
+def _dropped(cp: int) -> bool:
+    if cp in (0x9, 0xA, 0xD):
+        return False
+    return cp < 0x20 or 0x7F <= cp < 0xA0 or cp == 0xFFFD or 0xE000 <= cp <= 0xF8FF or 0xFDD0 <= cp <= 0xFDEF or cp & 0xFFFE == 0xFFFE
 
 
 def is_blank(c: Column) -> Column:
@@ -42,15 +59,16 @@ def is_blank(c: Column) -> Column:
 
 def truncate_bytes(c: Column, most: int) -> Column:
     """The longest prefix of at most ``most`` UTF-8 bytes that ends with a whole character."""
-    data = F.encode(c, "UTF-8")
 
-    def continues(at: int) -> Column:  # whether the byte after ``at`` belongs to the character before
-        return F.hex(F.substring(data, at + 1, 1)).between("80", "BF")
+    def cut(data: Column) -> Column:
+        # bytes of the last, broken character are those after the last byte that begins one
+        last = F.substring(data, F.lit(most - 2), 4)
+        begins = F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.lit(0), lambda acc, k: F.when(~F.hex(F.substring(last, k, F.lit(1))).between("80", "BF"), k).otherwise(acc))
+        return F.decode(F.substring(data, F.lit(1), F.lit(most - 4) + begins), "UTF-8")
 
-    cut = F.lit(max(most - 3, 0))
-    for at in range(max(most - 2, 0), most + 1):
-        cut = F.when(~continues(at), F.lit(at)).otherwise(cut)
-    return F.when(F.octet_length(c) <= most, c).otherwise(F.decode(F.substring(data, F.lit(1), cut), "UTF-8"))
+    if most < 4:
+        return F.left(c, F.aggregate(F.sequence(F.lit(0), F.lit(most)), F.lit(0), lambda acc, k: F.when(F.octet_length(F.left(c, k)) <= most, k).otherwise(acc)))
+    return F.element_at(F.transform(F.array(c), lambda x: F.when(F.octet_length(x) <= most, x).otherwise(cut(F.encode(x, "UTF-8")))), 1)
 
 
 def char_array(c: Column) -> Column:

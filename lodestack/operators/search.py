@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,15 +28,15 @@ def standing_catalog(rows: DataFrame) -> DataFrame:
     """
     name = F.coalesce("name", P.base_name(F.col("path")))
     last = rows.where("path is not null").groupBy("path").agg(F.max(F.struct("name_id", name.alias("name"), "size", "mtime_ms", "kind", "origin")).alias("r"))
-    return last.select(
-        "path",
-        "r.name",
-        X.lower_simple(F.col("r.name")).alias("name_lower"),
-        F.coalesce("r.size", F.lit(0)).alias("size"),
-        F.coalesce("r.mtime_ms", F.lit(0)).alias("mtime_ms"),
-        F.coalesce("r.kind", F.lit("file")).alias("kind"),
-        F.coalesce("r.origin", F.lit("main")).alias("origin"),
-    ).where("name_lower <> ''")
+    rows = last.where("r.name <> ''").select("path", "r.name", *(F.coalesce(f"r.{c}", F.lit(d)).alias(c) for c, d in (("size", 0), ("mtime_ms", 0), ("kind", "file"), ("origin", "main"))))
+    return stored_catalog(rows)
+
+
+def stored_catalog(rows: DataFrame) -> DataFrame:
+    """Catalog rows (path, name, size, mtime_ms, kind, origin) with what searches ask for: lowered name and folder, type."""
+    path = F.col("path")
+    lowered = {"name_lower": X.lower_simple(F.col("name")), "parent_lower": X.lower_simple(P.parent_of(path)), "ftype": P.file_type(path)}
+    return rows.select("path", "name", *(c.alias(n) for n, c in lowered.items()), F.col("size").cast("bigint").alias("size"), F.col("mtime_ms").cast("bigint").alias("mtime_ms"), "kind", "origin")
 
 
 def stored_text(raw: Column) -> Column:
@@ -49,11 +50,16 @@ def standing_content(rows: DataFrame) -> DataFrame:
     away.  Null paths and null texts are left out.
     """
     last = rows.where("path is not null and text is not null").groupBy("path").agg(F.max(F.struct("indexed_at", "row_id", "text")).alias("r"))
-    return (
-        last.select("path", stored_text(F.col("r.text")).alias("text"))
-        .where(~X.is_blank(F.col("text")))
-        .withColumn("text_lower", X.lower_simple(F.col("text")))
-    )
+    return stored_content(last.select("path", F.col("r.text").alias("text")))
+
+
+def stored_content(rows: DataFrame) -> DataFrame:
+    """Texts as extracted (path, text) in their stored form, with the lowered text; blank ones are left out.
+
+    Each form is computed once: what follows reads the column, not its expression.
+    """
+    clean = rows.select("path", X.once(stored_text(F.col("text"))).alias("text")).where(~X.is_blank(F.col("text")))
+    return clean.select("path", "text", X.lower_simple(F.col("text")).alias("text_lower"))
 
 
 def name_matches(catalog: DataFrame, query: str) -> DataFrame:
@@ -68,8 +74,12 @@ def name_order() -> list[Column]:
 
 
 def content_terms(query: str) -> list[str]:
-    """The terms of a content query: lowered, in stored form, split at white space."""
-    return lower_simple(query).split()
+    """The terms of a content query: in stored form, lowered, split at white space.
+
+    What a stored text never holds (control characters, the replacement
+    character) is dropped from the query as well.
+    """
+    return [t for t in re.split(X.SPACE_PY, lower_simple(X.stored_form(query.strip()))) if t]
 
 
 def content_matches(content: DataFrame, terms: list[str]) -> DataFrame:
@@ -79,9 +89,17 @@ def content_matches(content: DataFrame, terms: list[str]) -> DataFrame:
     return content.where(reduce(lambda a, b: a & b, [F.contains("text_lower", F.lit(t)) for t in terms]))
 
 
-def query_words(terms: list[str]) -> list[str]:
-    import re
+def prefiltered(content: DataFrame, grams: DataFrame, terms: list[str]) -> DataFrame:
+    """``content_matches`` over the texts that have every gram of the terms.
 
+    ``grams``: gram, path, tf; the index says where to look, the text decides.
+    """
+    if not terms:
+        return content.where(F.lit(False))
+    return content_matches(content.join(gram_candidates(grams, "path", terms).select("path"), "path", "left_semi"), terms)
+
+
+def query_words(terms: list[str]) -> list[str]:
     return [w for w in re.findall(r"[a-z0-9]+|[^\x00-\x7f]+", " ".join(terms).replace(" ", "\n")) if len(w) > 1]
 
 
@@ -108,28 +126,42 @@ def enriched(hits: DataFrame, catalog: DataFrame) -> DataFrame:
     return hits.join(known, "path", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("size", "mtime_ms")})
 
 
-def filtered(hits: DataFrame, f: QueryFilter) -> DataFrame:
-    return hits.where(P.matches_types(F.col("kind"), F.col("path"), f.types) & P.matches_dirs(F.col("path"), f.dirs))
+def filtered(hits: DataFrame, f: QueryFilter, stored: bool = False) -> DataFrame:
+    """Hits of the wanted types and folders; ``stored``: from the columns kept for it."""
+    if not stored:
+        return hits.where(P.matches_types(F.col("kind"), F.col("path"), f.types) & P.matches_dirs(F.col("path"), f.dirs))
+    for d in f.dirs:
+        hits = hits.where(F.contains("parent_lower", F.lit(lower_simple(d))))
+    if f.types:
+        hits = hits.where(F.col("kind") != "folder")
+        if "file" not in f.types:
+            hits = hits.where(F.col("ftype").isin(f.types))
+    return hits
+
 
+def branches(catalog: DataFrame, content: DataFrame, f: QueryFilter, filter_external: bool = False, grams: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``named`` (with its source: names, folders, external) and ``content`` hits of a query, filtered.
 
-def branches(catalog: DataFrame, content: DataFrame, f: QueryFilter, filter_external: bool = False) -> dict[str, DataFrame]:
-    """The four retrievals of a query, filtered; external entries only on demand."""
-    named = name_matches(catalog, f.joined).select("path", "name", "size", "mtime_ms", F.lit("name").alias("matched"), "kind", F.lit("").alias("snippet"), "origin")
+    External entries are filtered only on demand.  One pass over the catalog
+    serves its three sources; with ``grams`` the texts are looked up there first.
+    """
+    hits = name_matches(catalog, f.joined)
+    wanted = filtered(hits, f, stored=True)
+    if not filter_external and (f.types or f.dirs):
+        wanted = hits.where("origin = 'external'").unionByName(wanted.where("origin <> 'external'"))
+    source = F.when(F.col("origin") == "external", "external").when(F.col("kind") == "folder", "folders").otherwise("names")
     terms = content_terms(f.joined)
-    texts = content_matches(content, terms)
+    texts = content_matches(content, terms) if grams is None else prefiltered(content, grams, terms)
     texts = filtered(texts.withColumn("kind", F.lit("file")), f).withColumn("score", content_score(terms))
-    outside = named.where("origin = 'external'")
     return {
-        "names": filtered(named.where("origin = 'main' and kind = 'file'"), f),
+        "named": wanted.where("origin in ('main', 'external')").select("path", "name", "size", "mtime_ms", "kind", source.alias("source")),
         "content": texts.select("path", P.base_name(F.col("path")).alias("name"), "kind", "text", "text_lower", "score"),
-        "folders": filtered(named.where("origin = 'main' and kind = 'folder'"), f),
-        "external": filtered(outside, f) if filter_external else outside,
     }
 
 
 def totals(b: dict[str, DataFrame]) -> DataFrame:
     """One row: how many each retrieval has, exactly, after filtering."""
-    counted = reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("source"), F.col("kind")) for n, df in b.items()])
+    counted = b["named"].select("source", "kind").unionByName(b["content"].select(F.lit("content").alias("source"), "kind"))
     of = lambda *n: F.count_if(F.col("source").isin(*n))
     file, folder = F.col("kind") != "folder", F.col("kind") == "folder"
     return counted.agg(
@@ -144,25 +176,26 @@ def caps(limit: int) -> dict[str, int]:
     return {s: limit * a // b for s, (a, b) in zip(SOURCES, SHARES)}
 
 
+def ranked_content(hits: DataFrame, limit: int) -> DataFrame:
+    """The best ``limit`` content hits (path, score, ...) with their place ``rn``: by score, then path."""
+    order = [F.col("score").desc(), F.col("path").asc()]
+    return hits.orderBy(*order).limit(limit).withColumn("rn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+
+
 def merged(b: dict[str, DataFrame], catalog: DataFrame, limit: int, terms: list[str]) -> DataFrame:
     """At most ``limit`` hits: each source's share first, then what is left, in order of the sources.
 
-    Each source gives its best ``limit`` rows only, so what is numbered is small.
+    Each source gives its best ``limit`` rows only (a limit inside the rank, taken
+    before rows travel), so what is numbered is small.
     """
-    best = {}
-    for s, df in b.items():
-        if s == "content":
-            top = df.orderBy(F.col("score").desc(), "path").limit(limit)
-            snip = X.snippet(F.col("text"), F.col("text_lower"), terms[0]) if terms else F.lit("")
-            top = enriched(top, catalog).select("path", "name", "size", "mtime_ms", F.lit("content").alias("matched"), "kind", snip.alias("snippet"), F.col("score"))
-            order = [F.col("score").desc(), F.col("path").asc()]
-        else:
-            order = name_order() if s != "external" else [(F.col("kind") == "folder").asc(), *name_order()]
-            top = df.orderBy(*order).limit(limit).withColumn("score", F.lit(0).cast("bigint"))
-        rank = F.row_number().over(Window.partitionBy(F.lit(s)).orderBy(*order))
-        best[s] = top.withColumn("rn", rank).withColumn("source", F.lit(s))
-    rows = reduce(DataFrame.unionByName, [d.select("source", "rn", *HIT) for d in best.values()])
-    return quota(rows, limit)
+    last = ((F.col("source") == "external") & (F.col("kind") == "folder")).asc()  # external folders after external files
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(last, *name_order()))
+    named = b["named"].withColumn("rn", rank).where(F.col("rn") <= limit)
+    named = named.select("source", "rn", "path", "name", "size", "mtime_ms", F.lit("name").alias("matched"), "kind", F.lit("").alias("snippet"))
+    snip = X.snippet(F.col("text"), F.col("text_lower"), terms[0]) if terms else F.lit("")
+    texts = enriched(ranked_content(b["content"], limit), catalog)
+    texts = texts.select(F.lit("content").alias("source"), "rn", "path", "name", "size", "mtime_ms", F.lit("content").alias("matched"), "kind", snip.alias("snippet"))
+    return quota(named.unionByName(texts), limit)
 
 
 def quota(rows: DataFrame, limit: int) -> DataFrame:
@@ -176,11 +209,9 @@ def quota(rows: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("pos", pos.cast("bigint")).where(F.col("pos") <= limit).drop("round", "ordinal")
 
 
-def tab(hits: DataFrame, page: int) -> DataFrame:
-    """Pages of the result list: files by name, content, folders."""
-    if page == 1:
-        return hits.where("matched = 'content'")
-    return hits.where("kind = 'folder'" if page == 2 else "matched = 'name' and kind <> 'folder'")
+def page_of() -> Column:
+    """The page of the result list a hit is on: 0 files by name, 1 content, 2 folders."""
+    return F.when(F.col("matched") == "content", 1).when(F.col("kind") == "folder", 2).otherwise(0).cast("bigint")
 
 
 def shown_order(by: str = "name") -> list[Column]:

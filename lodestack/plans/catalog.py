@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import paths as P
@@ -10,7 +10,8 @@ from lodestack.functions import text as X
 from lodestack.operators import refresh as R
 from lodestack.operators import search as S
 from lodestack.operators.snapshots import delivery_order, standing_rows
-from lodestack.plans.query_language import limit_of, parse_log, parse_query
+from lodestack.plans.query_language import QueryFilter, limit_of, parse_log, parse_query
+from lodestack.plans.stored import search_store
 from lodestack.session import table
 
 NAME_QUERY = "report"
@@ -21,24 +22,26 @@ LIMIT = 300
 
 
 def _catalog(spark: SparkSession, d: str) -> DataFrame:
-    return S.standing_catalog(table(spark, d, "name_record"))
+    return search_store(spark, d).read("catalog")
 
 
 def _content(spark: SparkSession, d: str) -> DataFrame:
-    return S.standing_content(table(spark, d, "content_store"))
+    return search_store(spark, d).read("content")
 
 
 def name_search(spark: SparkSession, d: str) -> DataFrame:
     return S.name_matches(_catalog(spark, d), NAME_QUERY).select("path", "name", "size", "mtime_ms", "kind", "origin")
 
 
+def _placed(rows: DataFrame, order: list) -> DataFrame:
+    """Few rows with their place in an order."""
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("bigint"))
+
+
 def name_rank(spark: SparkSession, d: str) -> DataFrame:
     """The best 100 names, with their place."""
     best = S.name_matches(_catalog(spark, d), NAME_QUERY).orderBy(*S.name_order()).limit(100)
-    from pyspark.sql import Window
-
-    pos = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*S.name_order())).cast("bigint")
-    return best.select(pos.alias("pos"), "path", F.octet_length("name").cast("bigint").alias("name_bytes"))
+    return _placed(best, S.name_order()).select("pos", "path", F.octet_length("name").cast("bigint").alias("name_bytes"))
 
 
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -56,17 +59,16 @@ def name_bigrams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def type_filter(spark: SparkSession, d: str) -> DataFrame:
-    c = _catalog(spark, d)
-    return c.where(P.matches_types(F.col("kind"), F.col("path"), ["doc", "video"])).select("path", P.file_type(F.col("path")).alias("ftype"))
+    return S.filtered(_catalog(spark, d), QueryFilter(types=["doc", "video"]), stored=True).select("path", "ftype")
 
 
 def dir_filter(spark: SparkSession, d: str) -> DataFrame:
-    return _catalog(spark, d).where(P.matches_dirs(F.col("path"), ["Emulated", "re"])).select("path", P.parent_of(F.col("path")).alias("parent"))
+    return S.filtered(_catalog(spark, d), QueryFilter(dirs=["Emulated", "re"]), stored=True).select("path", P.parent_of(F.col("path")).alias("parent"))
 
 
 def ext_type_stats(spark: SparkSession, d: str) -> DataFrame:
     c = _catalog(spark, d).where("kind <> 'folder'")
-    return c.groupBy(P.file_type(F.col("path")).alias("ftype")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    return c.groupBy("ftype").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
 def ui_category(spark: SparkSession, d: str) -> DataFrame:
@@ -102,8 +104,10 @@ def content_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def content_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The best 300 texts, with their place."""
     terms = S.content_terms(CONTENT_QUERY)
-    return S.content_matches(_content(spark, d), terms).select("path", S.content_score(terms).alias("score"))
+    hits = S.content_matches(_content(spark, d), terms).select("path", S.content_score(terms).alias("score"))
+    return S.ranked_content(hits, limit_of(LIMIT)).select(F.col("rn").cast("bigint").alias("pos"), "path", "score")
 
 
 def content_enrich(spark: SparkSession, d: str) -> DataFrame:
@@ -117,14 +121,15 @@ def snippet(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gram_index(spark: SparkSession, d: str) -> DataFrame:
-    return S.gram_postings(_content(spark, d), "path", "text_lower", True)
+    """The postings, made anew from the texts."""
+    return S.gram_postings(S.standing_content(table(spark, d, "content_store")), "path", "text_lower", True)
 
 
 def gram_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Documents that have every gram of the terms, then those that have the terms."""
     terms = S.content_terms(CONTENT_QUERY)
-    content = _content(spark, d)
-    found = S.gram_candidates(S.gram_postings(content, "path", "text_lower", True), "path", terms)
+    store = search_store(spark, d)
+    content, found = store.read("content"), S.gram_candidates(store.read("grams"), "path", terms)
     whole = S.content_matches(content, terms).select("path", F.lit(1).cast("bigint").alias("verified"))
     return found.join(whole, "path", "left").select("path", "score", F.coalesce("verified", F.lit(0)).alias("verified"))
 
@@ -136,7 +141,7 @@ def word_tf(spark: SparkSession, d: str) -> DataFrame:
 def _branches(spark: SparkSession, d: str) -> tuple[dict, DataFrame, list[str]]:
     f = parse_query(SEARCH)
     catalog = _catalog(spark, d)
-    return S.branches(catalog, _content(spark, d), f), catalog, S.content_terms(f.joined)
+    return S.branches(catalog, _content(spark, d), f, grams=search_store(spark, d).read("grams")), catalog, S.content_terms(f.joined)
 
 
 def search_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -155,69 +160,19 @@ def quota_union(spark: SparkSession, d: str) -> DataFrame:
 
 def tab_views(spark: SparkSession, d: str) -> DataFrame:
     b, catalog, terms = _branches(spark, d)
-    hits = S.merged(b, catalog, limit_of(LIMIT), terms).withColumn("category", P.category(F.col("path")))
-    pages = [S.tab(hits, p).groupBy("category").agg(F.count("*").alias("n")).withColumn("page", F.lit(p).cast("bigint")) for p in range(3)]
-    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+    hits = S.merged(b, catalog, limit_of(LIMIT), terms)
+    return hits.groupBy(P.category(F.col("path")).alias("category"), S.page_of().alias("page")).agg(F.count("*").alias("n"))
 
 
 def ui_sort(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     best = S.name_matches(_catalog(spark, d), NAME_QUERY).orderBy(*S.shown_order()).limit(200)
-    pos = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*S.shown_order())).cast("bigint")
-    return best.select(pos.alias("pos"), "path", "name")
+    return _placed(best, S.shown_order()).select("pos", "path", "name")
 
 
 def parsed_queries(spark: SparkSession, d: str) -> DataFrame:
     return parse_log(table(spark, d, "query_log"))
 
 
-def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The first two deliveries of the list of names: old and new."""
-    rows = table(spark, d, "catalog_snapshot").where("list_name = 'names' and path not like '%/'")
-    one = lambda n: R.last_of(rows.where(F.col("snap_id") == n).select("path", "row_no", "size", "mtime_ms"), "path", "row_no")
-    return one(1), one(2)
-
-
-def incremental_diff(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _two(spark, d)
-    return R.differences(new, old)
-
-
-def scan_stats(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _two(spark, d)
-    return R.differences(new, old).groupBy("status").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-
-
-def removed_paths(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _two(spark, d)
-    return R.removed(old, new).select("path")
-
-
-def backfill_docs(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _two(spark, d)
-    return R.parse_queue(R.differences(new, old), _content(spark, d))
-
-
-def stale_content(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _two(spark, d)
-    return R.stale_content(R.differences(new, old), _content(spark, d))
-
-
-def upsert(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _two(spark, d)
-    fresh = R.differences(new, old).where("status in ('added', 'updated')").select("path", "size", "mtime_ms")
-    return R.upsert(old.select("path", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("mtime_ms", F.lit(0)).alias("mtime_ms")), fresh)
-
-
-def full_refresh(spark: SparkSession, d: str) -> DataFrame:
-    """A full scan replaces what scans gave and keeps what feeds gave."""
-    _, new = _two(spark, d)
-    external = _catalog(spark, d).where("origin = 'external'").select("path", "size", "mtime_ms", "origin")
-    scanned = new.select("path", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("mtime_ms", F.lit(0)).alias("mtime_ms"), F.lit("main").alias("origin"))
-    return external.unionByName(scanned)
-
-
 #: What tells the rows of several deliveries and lists apart.
 KEYS = ("snap_id", "list_name", "path")
 
@@ -230,34 +185,34 @@ def _deliveries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     return under(order.select((F.col("ord") - 1).alias("ord"), "snap_id")), under(order.where("ord > 1")), under(order)
 
 
-def incremental_diff_all(spark: SparkSession, d: str) -> DataFrame:
+def incremental_diff(spark: SparkSession, d: str) -> DataFrame:
     old, new, _ = _deliveries(spark, d)
     return R.differences(new, old, KEYS)
 
 
-def scan_stats_all(spark: SparkSession, d: str) -> DataFrame:
-    return incremental_diff_all(spark, d).groupBy("snap_id", "list_name", "status").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+def scan_stats(spark: SparkSession, d: str) -> DataFrame:
+    return incremental_diff(spark, d).groupBy("snap_id", "list_name", "status").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-def removed_paths_all(spark: SparkSession, d: str) -> DataFrame:
+def removed_paths(spark: SparkSession, d: str) -> DataFrame:
     old, new, _ = _deliveries(spark, d)
     return R.removed(old, new, KEYS).select(*KEYS)
 
 
-def backfill_docs_all(spark: SparkSession, d: str) -> DataFrame:
-    return R.parse_queue(incremental_diff_all(spark, d), _content(spark, d), KEYS)
+def backfill_docs(spark: SparkSession, d: str) -> DataFrame:
+    return R.parse_queue(incremental_diff(spark, d), _content(spark, d), KEYS)
 
 
-def stale_content_all(spark: SparkSession, d: str) -> DataFrame:
-    return R.stale_content(incremental_diff_all(spark, d), _content(spark, d), KEYS)
+def stale_content(spark: SparkSession, d: str) -> DataFrame:
+    return R.stale_content(incremental_diff(spark, d), _content(spark, d), KEYS)
 
 
-def upsert_all(spark: SparkSession, d: str) -> DataFrame:
+def upsert(spark: SparkSession, d: str) -> DataFrame:
     old, new, _ = _deliveries(spark, d)
     return R.upsert(old, new, list(KEYS))  # an unchanged row replaces itself, so no difference is needed
 
 
-def full_refresh_all(spark: SparkSession, d: str) -> DataFrame:
+def full_refresh(spark: SparkSession, d: str) -> DataFrame:
     """Each delivery, the first too, as a full scan; external folders go with the list of folders."""
     *_, scanned = _deliveries(spark, d)
     ids = delivery_order(table(spark, d, "snapshot_head")).select("snap_id")
@@ -316,6 +271,6 @@ QUERIES = {
         name_search, name_rank, path_parts, lower_names, name_bigrams, type_filter, dir_filter, ext_type_stats, ui_category, prune_dirs, parse_gate,
         normalize_text, truncate_bytes, content_search, content_rank, content_enrich, snippet, gram_index, gram_candidates, word_tf, search_totals,
         search_merged, quota_union, tab_views, ui_sort, parsed_queries, incremental_diff, scan_stats, removed_paths, backfill_docs, stale_content,
-        upsert, full_refresh, incremental_diff_all, scan_stats_all, removed_paths_all, backfill_docs_all, stale_content_all, upsert_all, full_refresh_all, dedup_last, remove_paths, remove_tree, external_feed, display_format, ext_rollup, ext_event_windows, ext_sessions,
+        upsert, full_refresh, dedup_last, remove_paths, remove_tree, external_feed, display_format, ext_rollup, ext_event_windows, ext_sessions,
     )
 }

@@ -115,18 +115,7 @@ def _merged(limit: int) -> str:
         select * from (select *, row_number() over (order by rn > {cap}, {ordinal}, rn) as pos from ranked) where pos <= {limit})"""
 
 
-_TWO = """
-    o as (select path, arg_max(coalesce(size, 0), row_no) as size, arg_max(coalesce(mtime_ms, 0), row_no) as mtime_ms
-          from catalog_snapshot where list_name = 'names' and path not like '%/' and snap_id = 1 group by path),
-    n as (select path, arg_max(coalesce(size, 0), row_no) as size, arg_max(coalesce(mtime_ms, 0), row_no) as mtime_ms
-          from catalog_snapshot where list_name = 'names' and path not like '%/' and snap_id = 2 group by path),
-    diff as (
-        select coalesce(n.path, o.path) as path, coalesce(n.size, o.size) as size, coalesce(n.mtime_ms, o.mtime_ms) as mtime_ms,
-            case when o.path is null then 'added' when n.path is null then 'removed'
-                 when n.size = o.size and n.mtime_ms = o.mtime_ms then 'unchanged' else 'updated' end as status
-        from n full join o on n.path = o.path)"""
-
-#: The same over every pair of consecutive valid deliveries and both lists.
+#: Differences over every pair of consecutive valid deliveries and both lists.
 _ALL = """
     heads as (select snap_id, row_number() over (order by max(saved_at), snap_id) as ord
               from snapshot_head where snap_version = 4 and snap_id is not null and saved_at is not null group by snap_id),
@@ -167,7 +156,8 @@ SQL = {
     "truncate_bytes": """select row_id, case when strlen(text) <= 64 then text
         else left(text, list_max(list_filter(range(0, 65), lambda k: strlen(left(text, k)) <= 64))) end as cut from content_store""",
     "content_search": f"with {_CON} select path, length(text) as chars from con where {_has(_TERMS)}",
-    "content_rank": f"with {_CON} select path, ({_score(_TERMS)})::bigint as score from con where {_has(_TERMS)}",
+    "content_rank": f"""with {_CON}, s as (select path, ({_score(_TERMS)})::bigint as score from con where {_has(_TERMS)})
+        select row_number() over (order by score desc, path) as pos, path, score from s qualify pos <= {C.LIMIT}""",
     "content_enrich": f"""with {_CAT}, {_CON} select con.path, coalesce(c.size, 0) as size, coalesce(c.mtime_ms, 0) as mtime_ms
         from con left join (select * from cat where origin = 'main' and kind = 'file') c using (path) where {_has(_TERMS)}""",
     "snippet": f"with {_CON}, matched as (select * from con where contains(text_lower, 'report')) {_snippet('report')}",
@@ -193,24 +183,15 @@ SQL = {
     "parsed_queries": """select query_id, case when raw_query is not null then array_to_string(terms, '|') end as terms,
         case when raw_query is not null then array_to_string(type_list, '|') end as types,
         case when raw_query is not null then array_to_string(dir_list, '|') end as dirs from query_log""",
-    "incremental_diff": f"with {_TWO} select * from diff",
-    "scan_stats": f"with {_TWO} select status, count(*) as n, sum(size)::bigint as bytes from diff group by status",
-    "removed_paths": f"with {_TWO} select path from diff where status = 'removed'",
-    "backfill_docs": f"""with {_TWO}, {_CON}, docs as (select * from diff where status <> 'removed' and {_PARSER} <> 'none')
-        select path, size, status as reason from docs where status in ('added', 'updated')
-        union all select path, size, 'backfill' from docs where status = 'unchanged' and path not in (select path from con)""",
-    "stale_content": f"with {_TWO}, {_CON} select path from con where path in (select path from diff where status in ('removed', 'updated'))",
-    "upsert": f"with {_TWO} select path, size, mtime_ms from diff",
-    "full_refresh": f"with {_TWO}, {_CAT} select path, size, mtime_ms, origin from cat where origin = 'external' union all select path, size, mtime_ms, 'main' from n",
-    "incremental_diff_all": f"with {_ALL} select * from diff",
-    "scan_stats_all": f"with {_ALL} select snap_id, list_name, status, count(*) as n, sum(size)::bigint as bytes from diff group by all",
-    "removed_paths_all": f"with {_ALL} select snap_id, list_name, path from diff where status = 'removed'",
-    "backfill_docs_all": f"""with {_ALL}, {_CON}, docs as (select * from diff where status <> 'removed' and {_PARSER} <> 'none')
+    "incremental_diff": f"with {_ALL} select * from diff",
+    "scan_stats": f"with {_ALL} select snap_id, list_name, status, count(*) as n, sum(size)::bigint as bytes from diff group by all",
+    "removed_paths": f"with {_ALL} select snap_id, list_name, path from diff where status = 'removed'",
+    "backfill_docs": f"""with {_ALL}, {_CON}, docs as (select * from diff where status <> 'removed' and {_PARSER} <> 'none')
         select snap_id, list_name, path, size, case status when 'unchanged' then 'backfill' else status end as reason from docs
         where status <> 'unchanged' or path not in (select path from con)""",
-    "stale_content_all": f"with {_ALL}, {_CON} select snap_id, list_name, path from diff where status in ('removed', 'updated') and path in (select path from con)",
-    "upsert_all": f"with {_ALL} select snap_id, list_name, path, size, mtime_ms from diff",
-    "full_refresh_all": f"""with {_ALL}, {_CAT} select snap_id, case kind when 'folder' then 'dirs' else 'names' end as list_name, path, size, mtime_ms, origin
+    "stale_content": f"with {_ALL}, {_CON} select snap_id, list_name, path from diff where status in ('removed', 'updated') and path in (select path from con)",
+    "upsert": f"with {_ALL} select snap_id, list_name, path, size, mtime_ms from diff",
+    "full_refresh": f"""with {_ALL}, {_CAT} select snap_id, case kind when 'folder' then 'dirs' else 'names' end as list_name, path, size, mtime_ms, origin
         from cat cross join heads where origin = 'external'
         union all select snap_id, list_name, path, size, mtime_ms, 'main' from standing join heads using (ord)""",
     "dedup_last": "select path, max(row_id) as row_id, arg_max({'c': length(text)}, row_id).c as chars from content_store where path is not null group by path",

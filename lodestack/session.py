@@ -33,12 +33,16 @@ def local_session(cores: str | int = "*", app: str = "lodestack", memory: str =
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, named by ``spark.checkpoint.dir``.
 
-    Where the setting is missing (tests), a temporary folder of this machine is
-    made once per application and set as the checkpoint folder.
+    Where the setting is missing and the master is local (tests), a temporary
+    folder of this machine is made once per application and set as the checkpoint
+    folder.  A cluster has to name one: its executors don't share this machine's.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="lodestack-")

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import paths as P
-from lodestack.functions import text as X
 from lodestack.operators.refresh import external_rows
-from lodestack.operators.search import stored_text
+from lodestack.operators.search import stored_catalog, stored_content
 
 ENTRY = "path string, name string, size bigint, mtime bigint, kind string, content string"
 FEED = "root string, dirs array<string>, files array<string>"
@@ -31,22 +30,22 @@ def catalog_rows(entries: DataFrame) -> DataFrame:
     """
     ok = entries.where("path <> '' and name <> ''").withColumn("n", F.monotonically_increasing_id())
     last = ok.groupBy("path").agg(F.max_by(F.struct("name", "size", "mtime", "kind"), "n").alias("r"))
-    return last.select(
-        "path",
-        "r.name",
-        X.lower_simple(F.col("r.name")).alias("name_lower"),
-        F.coalesce("r.size", F.lit(0)).alias("size"),
-        F.coalesce("r.mtime", F.lit(0)).alias("mtime_ms"),
-        F.when(F.col("r.kind") == "folder", "folder").otherwise("file").alias("kind"),
-        F.lit("main").alias("origin"),
+    return stored_catalog(
+        last.select(
+            "path",
+            "r.name",
+            F.coalesce("r.size", F.lit(0)).alias("size"),
+            F.coalesce("r.mtime", F.lit(0)).alias("mtime_ms"),
+            F.when(F.col("r.kind") == "folder", "folder").otherwise("file").alias("kind"),
+            F.lit("main").alias("origin"),
+        )
     )
 
 
 def content_rows(entries: DataFrame) -> DataFrame:
     """Stored texts of entries that bring some."""
     ok = entries.where("path <> '' and name <> ''").withColumn("n", F.monotonically_increasing_id()).where("content is not null")
-    text = ok.groupBy("path").agg(F.max_by("content", "n").alias("content")).select("path", stored_text(F.col("content")).alias("text"))
-    return text.where(~X.is_blank(F.col("text"))).withColumn("text_lower", X.lower_simple(F.col("text")))
+    return stored_content(ok.groupBy("path").agg(F.max_by("content", "n").alias("text")))
 
 
 def feed_from_text(spark: SparkSession, text: str) -> DataFrame:
@@ -59,8 +58,7 @@ def feed_from_text(spark: SparkSession, text: str) -> DataFrame:
 
 
 def external_catalog(feed: DataFrame) -> DataFrame:
-    rows = external_rows(feed, F.col("root")).dropDuplicates(["path"])
-    return rows.withColumn("name_lower", X.lower_simple(F.col("name"))).withColumn("origin", F.lit("external"))
+    return stored_catalog(external_rows(feed, F.col("root")).dropDuplicates(["path"]).withColumn("origin", F.lit("external")))
 
 
 def listing(spark: SparkSession, path: str, kind: str, root: str = "") -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import paths as P
-from lodestack.functions import text as X
-from lodestack.operators.refresh import last_of, upsert, without
+from lodestack.operators.refresh import last_of
+from lodestack.operators.search import stored_catalog
+from lodestack.session import materialize
 from lodestack.store import Store
 
 CHANGE = "seq bigint, path string, size bigint, mtime_ms bigint, kind string, deleted boolean"
@@ -20,19 +21,17 @@ def change_feed(spark: SparkSession, folder: str) -> DataFrame:
 
 def apply_changes(store: Store, changes: DataFrame) -> None:
     """One batch of changes: the last of a path wins, deletions remove it."""
-    last = last_of(changes.where("path <> ''"), "path", "seq")
+    last = materialize(last_of(changes.where("path <> ''"), "path", "seq"), "changes")
     rows = last.where("not coalesce(deleted, false)").select(
         "path",
         P.base_name(F.col("path")).alias("name"),
-        X.lower_simple(P.base_name(F.col("path"))).alias("name_lower"),
         F.coalesce("size", F.lit(0)).alias("size"),
         F.coalesce("mtime_ms", F.lit(0)).alias("mtime_ms"),
         F.coalesce("kind", F.lit("file")).alias("kind"),
         F.lit("main").alias("origin"),
     )
-    rows = rows.where("name <> ''")
     gone = last.where("coalesce(deleted, false)").select("path")
-    store.write({"catalog": upsert(without(store.read("catalog"), gone), rows), "content": without(store.read("content"), gone)})
+    store.change({"catalog": stored_catalog(rows.where("name <> ''"))}, gone)
 
 
 def follow(changes: DataFrame, store: Store, checkpoint: str, seconds: float | None = None):

@@ -32,17 +32,17 @@ def tables(spark, tmp_path_factory):
 
 def test_every_pair_and_list(spark, tables):
     got = lambda name: {tuple(r) for r in C.QUERIES[name](spark, tables).collect()}
-    diff = got("incremental_diff_all")
+    diff = got("incremental_diff")
     assert {(s, n, p, k) for s, n, p, _, _, k in diff if k != "unchanged"} == {
         (2, "names", "/c.docx", "added"), (4, "names", "/a.txt", "updated"), (4, "dirs", "/d", "removed"), (3, "names", "/b.txt", "removed"),
         (6, "names", "/b.txt", "added"), (6, "dirs", "/d", "added"), (6, "dirs", "/a.txt", "removed"),
     }
     assert {r[0] for r in diff} == {2, 3, 4, 6}
-    assert got("removed_paths_all") == {(4, "dirs", "/d"), (3, "names", "/b.txt"), (6, "dirs", "/a.txt")}
-    assert got("stale_content_all") == {(4, "names", "/a.txt"), (3, "names", "/b.txt"), (6, "dirs", "/a.txt")}
-    assert {r for r in got("scan_stats_all") if r[2] != "unchanged"} >= {(4, "dirs", "removed", 1, 0), (6, "names", "added", 1, 1)}
-    assert {r[:3] for r in got("backfill_docs_all") if r[4] == "backfill"} == {(s, "names", "/c.docx") for s in (3, 4, 6)}
-    assert {(r[0], r[2]) for r in got("upsert_all") if r[1] == "dirs"} == {(s, p) for s in (2, 4) for p in ("/d", "/a.txt")} | {(3, "/a.txt"), (6, "/a.txt"), (6, "/d")}
-    full = got("full_refresh_all")
+    assert got("removed_paths") == {(4, "dirs", "/d"), (3, "names", "/b.txt"), (6, "dirs", "/a.txt")}
+    assert got("stale_content") == {(4, "names", "/a.txt"), (3, "names", "/b.txt"), (6, "dirs", "/a.txt")}
+    assert {r for r in got("scan_stats") if r[2] != "unchanged"} >= {(4, "dirs", "removed", 1, 0), (6, "names", "added", 1, 1)}
+    assert {r[:3] for r in got("backfill_docs") if r[4] == "backfill"} == {(s, "names", "/c.docx") for s in (3, 4, 6)}
+    assert {(r[0], r[2]) for r in got("upsert") if r[1] == "dirs"} == {(s, p) for s in (2, 4) for p in ("/d", "/a.txt")} | {(3, "/a.txt"), (6, "/a.txt"), (6, "/d")}
+    full = got("full_refresh")
     assert {r[:3] for r in full if r[5] == "external"} == {(s, n, p) for s in (1, 2, 3, 4, 6) for n, p in (("dirs", "/x"), ("names", "/y"))}
     assert {(r[0], r[2]) for r in full if r[1] == "dirs" and r[5] == "main"} == {(s, "/a.txt") for s in (1, 2, 3, 4)} | {(1, "/d"), (2, "/d"), (6, "/d")}
