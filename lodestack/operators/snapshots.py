@@ -1,22 +1,39 @@
 """What changed between consecutive full snapshots of a table.
 
-Keys are bucketed into hash ranges (the leaves of a 16-way tree).  A leaf's
-digest covers its rows regardless of their order, an inner node's digest covers
-its children.  Consecutive snapshots are compared from the root down; only
-leaves whose digests differ have their rows compared.
+Keys are bucketed into hash ranges, the leaves of a Merkle tree of three levels:
+the root of a list, its ``top`` nodes (at most 2**TOP_BITS) and the leaves.  A
+leaf's digest covers its rows regardless of their order, a node's digest covers
+its children.  Consecutive snapshots are compared from the root down, each list
+and pair by itself: tops only under a differing root, leaves only under differing
+tops, rows only in differing leaves.
+
+Rows and digests of a snapshot are kept (``SnapshotIndex``), bucketed by top: a
+new delivery is read, reduced to its standing rows and digested once, the ones
+before it are not read again but for what differs, and comparing leaves and rows
+moves nothing between tasks, as all of a leaf lies in one bucket.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.session import materialize
+from lodestack.manifests import Manifests
+from lodestack.session import work_path
 
-FAN_BITS = 4
-MAX_DEPTH = 7
+#: Bits of a top node: differing tops are sent to all tasks, at most 2**12 a list and pair.
+TOP_BITS = 12
+MOST_BITS = 40
+#: Rows a leaf has on average at most: with 1 % of rows changed, 4 % of leaves differ.
+LEAF_ROWS = 4
+#: Rows a bucket has at most on average when the index is begun.
+BUCKET_ROWS = 1_000_000
+MOST_BUCKETS = 1 << TOP_BITS
 
 
 def delivery_order(heads: DataFrame, version: int = 4) -> DataFrame:
@@ -60,119 +77,205 @@ def standing_rows(rows: DataFrame, order: DataFrame) -> DataFrame:
     )
 
 
-def depth_for(rows_per_snapshot: int, leaf_rows: int = 32) -> int:
-    """Tree depth that leaves about ``leaf_rows`` rows a leaf."""
-    return min(MAX_DEPTH, max(1, round(math.log(max(rows_per_snapshot, 1) / leaf_rows + 1, 2**FAN_BITS))))
+def bits_for(rows: int, leaf_rows: int = LEAF_ROWS) -> int:
+    """Bits of the leaf number that leave at most ``leaf_rows`` rows a leaf."""
+    return min(MOST_BITS, math.ceil(math.log2(rows / leaf_rows))) if rows > leaf_rows else 0
 
 
-def leaf_of(path: Column, depth: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(path), 64 - FAN_BITS * depth)
+def leaf_of(path: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(path), 64 - bits) if bits else F.lit(0).cast("bigint")
 
 
-def leaf_digests(standing: DataFrame, depth: int) -> DataFrame:
-    """``(list_name, ord, node, d1, d2, n)`` for every leaf that has rows."""
-    row = [F.col("path"), F.col("size"), F.col("mtime_ms")]
-    return (
-        standing.groupBy("list_name", "ord", leaf_of(F.col("path"), depth).alias("node"))
-        .agg(
-            F.bit_xor(F.xxhash64(*row)).alias("d1"),
-            F.bit_xor(F.xxhash64(F.lit("second"), *reversed(row))).alias("d2"),
-            F.count("*").alias("n"),
-        )
-    )
+def top_of(path: Column, bits: int) -> Column:
+    """The top node above a path's leaf: the first bits of the leaf's number."""
+    return leaf_of(path, min(bits, TOP_BITS)).cast("int")
 
 
-def parent_digests(nodes: DataFrame) -> DataFrame:
-    """The level above: digests over at most 16 children in order."""
-    return (
-        nodes.groupBy("list_name", "ord", F.shiftrightunsigned("node", FAN_BITS).alias("node"))
-        .agg(F.sort_array(F.collect_list(F.struct("node", "d1", "d2", "n"))).alias("kids"), F.sum("n").alias("n"))
-        .select("list_name", "ord", "node", F.xxhash64("kids").alias("d1"), F.xxhash64(F.lit("second"), "kids").alias("d2"), "n")
+def leaf_digests(standing: DataFrame, bits: int) -> DataFrame:
+    """``(top, list_name, ord, node, d, n)`` for every leaf that has rows; ``standing`` has its top."""
+    return standing.groupBy("top", "list_name", "ord", leaf_of(F.col("path"), bits).alias("node")).agg(
+        F.bit_xor(F.xxhash64("path", "size", "mtime_ms")).alias("d"), F.count("*").alias("n")
     )
 
 
-def _differing(nodes: DataFrame, last: int) -> DataFrame:
-    """Nodes whose digest in snapshot ``pair`` differs from that in the one before."""
-    digest = F.struct("d1", "d2", "n")
-    sides = nodes.where(F.col("ord") > 1).select("list_name", "node", F.col("ord").alias("pair"), F.lit(True).alias("now"), digest.alias("d"))
-    sides = sides.unionByName(
-        nodes.where(F.col("ord") < last).select("list_name", "node", (F.col("ord") + 1).alias("pair"), F.lit(False).alias("now"), digest.alias("d"))
-    )
-    return (
-        sides.groupBy("list_name", "pair", "node")
-        .agg(F.max(F.when(F.col("now"), F.col("d"))).alias("after"), F.max(F.when(~F.col("now"), F.col("d"))).alias("before"))
-        .where(~F.col("after").eqNullSafe(F.col("before")))
-        .select("list_name", "pair", "node")
-    )
+def parent_digests(nodes: DataFrame, child: str, *parent: str) -> DataFrame:
+    """Digests of the level above, over the children in order: ``(*parent, list_name, ord, d)``.
 
+    The digests of children are mixed with their number before they are joined,
+    so their order counts and none has to be held with the others.
+    """
+    return nodes.groupBy(*parent, "list_name", "ord").agg(F.bit_xor(F.xxhash64(child, "d")).alias("d"))
 
-def differing_leaves(leaves: DataFrame, depth: int, last: int) -> DataFrame:
-    """Compare the trees from the root down; ``(list_name, pair, node)`` of the leaves."""
-    levels = [leaves]
-    for _ in range(depth):
-        levels.append(parent_digests(levels[-1]))
-    found = _differing(levels[-1], last)
-    for nodes in reversed(levels[:-1]):
-        under = found.select(F.col("list_name").alias("l"), F.col("pair").alias("p"), F.col("node").alias("up"))
-        # a child takes part in the pairs in which its parent differs
-        kids = nodes.join(
-            under,
-            F.col("l").eqNullSafe(F.col("list_name"))
-            & (F.col("up") == F.shiftrightunsigned("node", FAN_BITS))
-            & ((F.col("p") == F.col("ord")) | (F.col("p") == F.col("ord") + 1)),
-        )
-        found = (
-            kids.groupBy("list_name", F.col("p").alias("pair"), "node")
-            .agg(
-                F.max(F.when(F.col("ord") == F.col("p"), F.struct("d1", "d2", "n"))).alias("after"),
-                F.max(F.when(F.col("ord") < F.col("p"), F.struct("d1", "d2", "n"))).alias("before"),
-            )
-            .where(~F.col("after").eqNullSafe(F.col("before")))
-            .select("list_name", "pair", "node")
-        )
-    return found
 
+def _differing(nodes: DataFrame, pairs: DataFrame, *key: str) -> DataFrame:
+    """``(*key, list_name, pair)`` of nodes whose digest differs between the two snapshots of a pair.
 
-def snapshot_changes(rows: DataFrame, heads: DataFrame, version: int = 4, leaf_rows: int = 32) -> DataFrame:
-    """``(snap_id, list_name, path, change_kind)`` between consecutive valid snapshots.
+    ``pairs``: ord, pair, now - which snapshots take part in which pairs, a handful of rows.
+    """
+    sides = nodes.join(F.broadcast(pairs), "ord")
+    side = lambda now: F.max(F.when(F.col("now") == now, F.col("d")))
+    both = sides.groupBy(*key, "list_name", "pair").agg(side(True).alias("after"), side(False).alias("before"))
+    return both.where(~F.col("after").eqNullSafe(F.col("before"))).select(*key, "list_name", "pair")
 
-    ``rows``: snap_id, list_name, row_no, path, size, mtime_ms (others are
-    ignored); ``heads``: snap_id, snap_version, saved_at.  A null list_name is a
-    list of its own.  With fewer than two valid snapshots, or no rows, the
-    result is empty.
+
+def _below(nodes: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Nodes of the lists and snapshots of differing parents; ``found`` has a size bound."""
+    asked = found.join(F.broadcast(pairs), "pair").select(*(F.col(c).alias(f"_{c}") for c in found.columns if c != "pair"), F.col("ord").alias("_ord")).distinct()
+    on = F.col("_ord") == F.col("ord")
+    for c in found.columns:
+        if c != "pair":
+            on = on & F.col(f"_{c}").eqNullSafe(F.col(c))
+    return nodes.join(F.broadcast(asked), on, "left_semi")
+
+
+def differing_leaves(leaves: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Compare the trees from the root down; ``(top, node, list_name, pair)`` of the leaves.
+
+    ``pairs``: ord, pair, now, a handful of rows.  Only differing roots and tops
+    are sent to all tasks: at most 2**TOP_BITS rows a list and pair.
     """
-    order = materialize(delivery_order(heads, version), "order")
-    last = order.count()
-    standing = materialize(standing_rows(rows, order), "standing")
-    depth = depth_for(standing.count() // max(last, 1), leaf_rows)
-    leaves = materialize(leaf_digests(standing, depth), "leaves")
-    found = differing_leaves(leaves, depth, last)
-
-    # each differing leaf asks for its rows of two snapshots; what it asks lies in one
-    # row a leaf, so rows meet it, and then one another, under one partitioning
-    asked = found.groupBy("node").agg(F.collect_set(F.struct(F.coalesce("list_name", F.lit("")).alias("l"), F.col("list_name").isNull().alias("none"), "pair")).alias("asked"))
-    own = lambda x: (x.l == F.coalesce("list_name", F.lit(""))) & (x.none == F.col("list_name").isNull()) & ((x.pair == F.col("ord")) | (x.pair == F.col("ord") + 1))
-    sides = (
-        standing.withColumn("node", leaf_of(F.col("path"), depth))
-        .join(asked, "node")
-        .select("node", "ord", "list_name", "path", "size", "mtime_ms", F.explode(F.filter("asked", own)).alias("x"))
-        .select("node", "list_name", "path", "size", "mtime_ms", "x.pair", (F.col("x.pair") == F.col("ord")).alias("now"))
-    )
-    pairs = sides.groupBy("node", "pair", "list_name", "path").agg(
-        *(
-            F.max(F.when(F.col("now") if side == "after" else ~F.col("now"), F.col(c))).alias(f"{c}_{side}")
-            for side in ("after", "before")
-            for c in ("size", "mtime_ms")
-        )
+    tops = parent_digests(leaves, "node", "top")
+    roots = _differing(parent_digests(tops, "top"), pairs)
+    tops = _differing(_below(tops, roots, pairs), pairs, "top")
+    return _differing(_below(leaves, tops, pairs), pairs, "top", "node")
+
+
+def changed_rows(standing: DataFrame, found: DataFrame, bits: int, pairs: DataFrame) -> DataFrame:
+    """``(pair, list_name, path, change_kind)`` within the differing leaves.
+
+    ``standing``: top, ord, list_name, path, size, mtime_ms; ``found`` from
+    ``differing_leaves``.  Both lie in the same buckets, so rows are picked and
+    compared where they are.
+    """
+    # of a snapshot a leaf is asked for by the pair it ends, the pair it begins, or both
+    asked = found.join(F.broadcast(pairs), "pair").groupBy("top", "node", "list_name", "ord").agg(F.max(F.when(F.col("now"), F.col("pair"))).alias("ends"), F.max(F.when(~F.col("now"), F.col("pair"))).alias("begins"))
+    asked = asked.select(F.col("top").alias("t"), F.col("node").alias("m"), F.col("list_name").alias("l"), F.col("ord").alias("o"), "ends", "begins")
+    rows = standing.withColumn("node", leaf_of(F.col("path"), bits))
+    rows = rows.join(asked, (F.col("t") == F.col("top")) & (F.col("m") == F.col("node")) & (F.col("o") == F.col("ord")) & F.col("l").eqNullSafe(F.col("list_name")))
+    sides = F.array(F.struct(F.col("ends").alias("pair"), F.lit(True).alias("now")), F.struct(F.col("begins").alias("pair"), F.lit(False).alias("now")))
+    rows = rows.select("top", "list_name", "path", "size", "mtime_ms", F.explode(sides).alias("x")).where("x.pair is not null")
+    both = rows.groupBy("top", F.col("x.pair").alias("pair"), "list_name", "path").agg(
+        *(F.max(F.when(F.col("x.now") == (side == "after"), F.col(c))).alias(f"{c}_{side}") for side in ("after", "before") for c in ("size", "mtime_ms"))
     )
     kind = (
         F.when(F.col("size_before").isNull(), F.lit("added"))
         .when(F.col("size_after").isNull(), F.lit("removed"))
         .when((F.col("size_before") != F.col("size_after")) | (F.col("mtime_ms_before") != F.col("mtime_ms_after")), F.lit("changed"))
     )
-    return (
-        pairs.withColumn("change_kind", kind)
-        .where(F.col("change_kind").isNotNull())
-        .join(order, F.col("pair") == F.col("ord"))
-        .select("snap_id", "list_name", "path", "change_kind")
-    )
+    return both.select("pair", "list_name", "path", kind.alias("change_kind")).where(F.col("change_kind").isNotNull())
+
+
+@contextmanager
+def _buckets_meet(spark: SparkSession) -> Iterator[None]:
+    """Joins on more than the bucket's key use the buckets as they lie."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class SnapshotIndex:
+    """Rows and digests of the snapshots seen so far, and the changes found between them.
+
+    ``update`` takes what is new: deliveries not seen before are read, reduced to
+    their standing rows and digested; pairs of consecutive deliveries not compared
+    before are compared.  A delivery that turns up late between two others makes
+    two new pairs; the changes of the pair it parts are kept but no longer named.
+    A delivery is known by its snap_id: one that is delivered again counts as it
+    was first seen.  All of an update counts with its manifest, or nothing: rows
+    carry the number of their update, and those of a dead one are never asked for.
+    """
+
+    _ROWS = "ord int, list_name string, path string, size bigint, mtime_ms bigint, top int, part int"
+    _LEAVES = "top int, list_name string, ord int, node bigint, d bigint, n bigint, part int"
+
+    def __init__(self, spark: SparkSession, root: str, leaf_rows: int = LEAF_ROWS):
+        self.spark, self.root, self.leaf_rows = spark, root.rstrip("/"), leaf_rows
+        self.manifests = Manifests(spark, root)
+        self._names: dict[str, str] = {}
+
+    def _table(self, what: str, ddl: str, buckets: int) -> str:
+        """The bucketed table of this session over the files below ``what``."""
+        if what not in self._names:
+            name = f"lodestack_{what}_{uuid.uuid4().hex}"
+            place = f"{self.root}/{what}".replace("'", "\\'")
+            self.spark.sql(f"create table {name} ({ddl}) using parquet clustered by (top) into {buckets} buckets location '{place}'")
+            self._names[what] = name
+        return self._names[what]
+
+    def _add(self, df: DataFrame, what: str, ddl: str, buckets: int) -> DataFrame:
+        name = self._table(what, ddl, buckets)
+        columns = [c.split()[0] for c in ddl.split(", ")]
+        out = df.select(*columns).write.mode("append").option("compression", "zstd").format("parquet")
+        out.bucketBy(buckets, "top").saveAsTable(name)
+        self.spark.catalog.refreshTable(name)
+        return self.spark.read.table(name)
+
+    def forget_tables(self) -> None:
+        """Drop this session's names; the files stay."""
+        for name in self._names.values():
+            self.spark.sql(f"drop table if exists {name}")
+        self._names.clear()
+
+    def update(self, rows: DataFrame, heads: DataFrame, version: int = 4) -> None:
+        number, state = self.manifests.latest(writing=True)
+        state = state or {"bits": None, "buckets": None, "snaps": {}, "pairs": {}, "order": []}
+        order = [r.snap_id for r in delivery_order(heads, version).orderBy("ord").collect()]  # one row a delivery
+        snaps, pairs, part = dict(state["snaps"]), dict(state["pairs"]), number + 1
+        fresh = [s for s in order if str(s) not in snaps]
+        wanted = [(a, b) for a, b in zip(order, order[1:]) if f"{a}>{b}" not in pairs]
+        bits, buckets = state["bits"], state["buckets"]
+        if not fresh and not wanted and order == state["order"]:
+            return
+        changes = f"changes-{uuid.uuid4().hex[:12]}"
+        with _buckets_meet(self.spark):
+            if fresh:
+                named = self.spark.createDataFrame([(s, s) for s in fresh], "snap_id int, ord int")
+                picked = rows.where(F.col("snap_id").isin(fresh)) if len(fresh) <= 64 else rows.join(F.broadcast(named.select("snap_id")), "snap_id", "left_semi")
+                if bits is None:
+                    given = picked.count()
+                    bits = bits_for(given // len(fresh), self.leaf_rows)
+                    buckets = min(MOST_BUCKETS, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-given // BUCKET_ROWS)))
+                kept = standing_rows(picked, F.broadcast(named)).withColumn("top", top_of(F.col("path"), bits)).withColumn("part", F.lit(part))
+                kept = self._add(kept.repartition(buckets, "top"), "rows", self._ROWS, buckets).where(F.col("part") == part)
+                self._add(leaf_digests(kept, bits).withColumn("part", F.lit(part)), "leaves", self._LEAVES, buckets)
+                snaps |= {str(s): part for s in fresh}
+            if wanted:
+                taking = self.spark.createDataFrame([(s, b, s == b) for a, b in wanted for s in (a, b)], "ord int, pair int, now boolean")
+                asked = sorted({(snaps[str(s)], s) for pair in wanted for s in pair})
+                at = self.spark.createDataFrame(asked, "part int, ord int")
+                read = lambda what, ddl: self.spark.read.table(self._table(what, ddl, buckets)).join(F.broadcast(at), ["part", "ord"], "left_semi")
+                found = differing_leaves(read("leaves", self._LEAVES), taking)
+                changed_rows(read("rows", self._ROWS), found, bits, taking).write.option("compression", "zstd").parquet(f"{self.root}/{changes}")
+                pairs |= {f"{a}>{b}": changes for a, b in wanted}
+        self.manifests.publish(part, {"bits": bits, "buckets": buckets, "snaps": snaps, "pairs": pairs, "order": order})
+
+    def changes(self) -> DataFrame:
+        """``(snap_id, list_name, path, change_kind)`` between consecutive deliveries as they stand."""
+        _, state = self.manifests.latest()
+        ddl = "pair int, list_name string, path string, change_kind string"
+        named: dict[str, list[int]] = {}
+        for a, b in zip(state["order"], state["order"][1:]) if state else []:
+            named.setdefault(state["pairs"][f"{a}>{b}"], []).append(b)
+        out = self.spark.createDataFrame([], ddl)
+        for folder, ids in named.items():
+            out = out.unionByName(self.spark.read.schema(ddl).parquet(f"{self.root}/{folder}").where(F.col("pair").isin(ids)))
+        return out.select(F.col("pair").alias("snap_id"), "list_name", "path", "change_kind")
+
+
+def snapshot_changes(rows: DataFrame, heads: DataFrame, version: int = 4, leaf_rows: int = LEAF_ROWS, root: str | None = None) -> DataFrame:
+    """``(snap_id, list_name, path, change_kind)`` between consecutive valid snapshots.
+
+    ``rows``: snap_id, list_name, row_no, path, size, mtime_ms (others are
+    ignored); ``heads``: snap_id, snap_version, saved_at.  A null list_name is a
+    list of its own.  With fewer than two valid snapshots, or no rows, the
+    result is empty.  With a ``root`` the index there is continued, otherwise one
+    is begun in the shared folder.
+    """
+    index = SnapshotIndex(rows.sparkSession, root or work_path(rows.sparkSession, "snapshots"), leaf_rows)
+    index.update(rows, heads, version)
+    index.forget_tables()
+    return index.changes()
