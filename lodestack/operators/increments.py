@@ -1,145 +1,187 @@
 """Processing only new or changed records, once each, across failing runs.
 
 The ledger keeps which sequence numbers have been processed, as disjoint
-intervals.  A run subtracts them from the numbers available at its end, takes
-the rows in the gaps (late commits fill old gaps), finds the records whose
-state differs from the one in force, and commits its output, the records now in
-force and the merged intervals together: all are written below a folder of this
-attempt, and one rename of the manifest makes them count.  A run that dies
-before the rename has changed nothing; one that is started again after it finds
-no gap.
+intervals.  What is available minus what is processed are the gaps (late commits
+fill old ones); only rows in gaps are taken up, and the scan is told the ranges
+that are done, so it doesn't read them again.  Runs that are due are caught up
+together: a row belongs to the first of them that ends after it arrived, so a
+backlog costs one pass, not one a run.  The output, the records now in force and
+the merged intervals are written below a folder of the attempt, and one manifest
+makes all of it count.  An attempt that dies before has changed nothing; one
+that is started again after its commit finds no gap.
+
+The records in force are kept as a base and what has changed since; when the
+changes outgrow the base they are folded into a new one, so over all runs a
+record is rewritten a logarithmic number of times.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestack.manifests import Manifests
 from lodestack.operators import intervals as iv
 from lodestack.session import work_path
 
+#: Runs caught up in one pass; a longer backlog takes several.
+TOGETHER = 64
+#: Processed ranges a scan is told to leave out, the widest ones.
+SKIPPED = 64
+#: Folders of changes that may lie on a base.
+MOST_CHANGES = 16
+
 INTERVALS = T.StructType([T.StructField(c, T.LongType()) for c in ("block", "lo", "hi")])
-FORCE = T.StructType(
-    [
-        T.StructField("run_no", T.IntegerType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("arrived_at", T.TimestampNTZType()),
-        T.StructField("feed_id", T.LongType()),
-        T.StructField("size", T.LongType()),
-        T.StructField("mtime_ms", T.LongType()),
-        T.StructField("is_case", T.BooleanType()),
-    ]
-)
+_RECORD = [
+    T.StructField("path", T.StringType()),
+    T.StructField("arrived_at", T.TimestampNTZType()),
+    T.StructField("feed_id", T.LongType()),
+    T.StructField("size", T.LongType()),
+    T.StructField("mtime_ms", T.LongType()),
+]
+FORCE = T.StructType(_RECORD)
+CASES = T.StructType([T.StructField("run_no", T.IntegerType()), *(f for f in _RECORD if f.name in ("path", "size", "mtime_ms"))])
+
+
+@dataclass
+class Run:
+    run_no: int
+    until: str  # a timestamp as text, in the feed's own kind of time
 
 
 class Ledger:
-    """The committed state: a manifest naming the folders of committed attempts."""
+    """The committed state: manifests that name the folders of committed attempts."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def attempts(self) -> list[dict]:
-        """Committed attempts, oldest first: the latest manifest's list."""
-        at = self._path(f"{self.root}/manifests")
-        if not self._fs.exists(at):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(at)]
-        numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
-        if not numbers:
-            return []
-        stream = self._fs.open(self._path(f"{self.root}/manifests/{max(numbers)}.json"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def commit(self, before: list[dict], attempt: dict) -> None:
+        self.manifests = Manifests(spark, root)
+
+    def state(self, writing: bool = False) -> dict:
+        number, found = self.manifests.latest(writing)
+        return (found or {"runs": [], "cases": [], "base": None, "changes": [], "rows": [0, 0], "intervals": None}) | {"number": number}
+
+    def commit(self, before: dict, after: dict) -> None:
         """Publish the next manifest; fails if another writer was faster."""
-        self._fs.mkdirs(self._path(f"{self.root}/manifests"))
-        tmp = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
-        out = self._fs.create(tmp, True)
-        out.write(json.dumps([*before, attempt]).encode())
-        out.close()
-        target = self._path(f"{self.root}/manifests/{len(before) + 1}.json")
-        if self._fs.exists(target) or not self._fs.rename(tmp, target):
-            self._fs.delete(tmp, False)
-            raise RuntimeError(f"another run has committed {target}")
-
-    def processed(self, attempts: list[dict]) -> DataFrame:
-        if not attempts:
-            return self.spark.createDataFrame([], INTERVALS)
-        return self.spark.read.schema(INTERVALS).parquet(f"{self.root}/{attempts[-1]['folder']}/intervals")
-
-    def in_force(self, attempts: list[dict]) -> DataFrame:
-        """Every record that was in force at the end of some committed run."""
-        if not attempts:
-            return self.spark.createDataFrame([], FORCE)
-        return self.spark.read.schema(FORCE).parquet(*(f"{self.root}/{a['folder']}/force" for a in attempts))
+        self.manifests.publish(before["number"] + 1, {k: v for k, v in after.items() if k != "number"})
+
+    def runs(self) -> list[int]:
+        return self.state()["runs"]
+
+    def _table(self, schema: T.StructType, *folders: str | None) -> DataFrame:
+        at = [f"{self.root}/{f}" for f in folders if f]
+        return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
+
+    def processed(self, state: dict) -> DataFrame:
+        return self._table(INTERVALS, state["intervals"])
+
+    def in_force(self, state: dict) -> DataFrame:
+        """The base and the changes on it; of a path, the greatest (arrived_at, feed_id) counts."""
+        return self._table(FORCE, state["base"], *state["changes"])
 
     def output(self) -> DataFrame:
         """``(run_no, path, size, mtime_ms)``: what the committed runs processed."""
-        return self.in_force(self.attempts()).where("is_case").select("run_no", "path", "size", "mtime_ms")
+        return self._table(CASES, *self.state()["cases"])
 
 
-@dataclass
-class Run:
-    run_no: int
-    until: str  # a timestamp as text, in the feed's own kind of time
+def _first_end(arrived: Column, ends: list[Column], low: int = 0, high: int | None = None) -> Column:
+    """The index of the first of the (rising) ends at or after ``arrived``, by halving."""
+    high = len(ends) - 1 if high is None else high
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(arrived <= ends[mid], _first_end(arrived, ends, low, mid)).otherwise(_first_end(arrived, ends, mid + 1, high))
 
 
-def process_run(ledger: Ledger, feed: DataFrame, run: Run, fail_before_commit: bool = False) -> None:
-    """One run: whatever arrived up to ``run.until`` and hasn't been processed.
+def _unprocessed(number: Column, processed: DataFrame) -> Column:
+    """A condition for scans: the number lies in none of the widest processed ranges."""
+    keep = F.lit(True)
+    for r in iv.widest(processed, SKIPPED):
+        keep = keep & ((number < r.lo) | (number > r.hi))
+    return keep
+
+
+def process_runs(ledger: Ledger, feed: DataFrame, runs: list[Run], fail_before_commit: bool = False) -> None:
+    """Runs in the order of their ends: for each, whatever arrived by then and hasn't been processed.
 
     ``feed``: feed_id (the sequence number), path, size, mtime_ms, arrived_at;
     other columns are ignored.  Rows without feed_id, path or arrived_at can't
-    be tracked and are left out; null size and mtime read as 0.  A run that was
-    committed before is not repeated.
+    be tracked and are left out; null size and mtime read as 0.  A number that is
+    delivered again counts with the run that saw it first.  Runs that were
+    committed before are not repeated.
     """
-    done = ledger.attempts()
-    if any(a["run_no"] == run.run_no for a in done):
-        return
-    until = F.lit(run.until).cast(feed.schema["arrived_at"].dataType)
-    rows = feed.where(F.col("path").isNotNull() & F.col("feed_id").isNotNull() & (F.col("arrived_at") <= until)).select(
-        "feed_id",
+    done = ledger.state(writing=True)
+    runs = [r for r in runs if r.run_no not in done["runs"]]
+    for k in range(0, len(runs), TOGETHER):
+        _process(ledger, feed, runs[k : k + TOGETHER], fail_before_commit)
+
+
+def process_run(ledger: Ledger, feed: DataFrame, run: Run, fail_before_commit: bool = False) -> None:
+    process_runs(ledger, feed, [run], fail_before_commit)
+
+
+def _process(ledger: Ledger, feed: DataFrame, runs: list[Run], fail_before_commit: bool) -> None:
+    spark, before = ledger.spark, ledger.state(writing=True)
+    processed = ledger.processed(before)
+    kind = feed.schema["arrived_at"].dataType
+    ends = [F.lit(r.until).cast(kind) for r in runs]
+    rows = feed.where(F.col("path").isNotNull() & F.col("feed_id").isNotNull() & (F.col("arrived_at") <= ends[-1]) & _unprocessed(F.col("feed_id"), processed)).select(
+        F.col("feed_id").cast("bigint").alias("feed_id"),
         "path",
         F.coalesce("size", F.lit(0)).cast("bigint").alias("size"),
         F.coalesce("mtime_ms", F.lit(0)).cast("bigint").alias("mtime_ms"),
         F.col("arrived_at").cast("timestamp_ntz").alias("arrived_at"),
+        _first_end(F.col("arrived_at"), ends).alias("nth"),
     )
-    processed = ledger.processed(done)
-    folder = f"run-{run.run_no}-{uuid.uuid4().hex[:12]}"
+    folder = f"attempt-{uuid.uuid4().hex[:12]}"
     at = f"{ledger.root}/{folder}"
 
-    gaps_at = f"{at}/gaps"
-    iv.subtract(iv.from_numbers(rows, "feed_id"), processed).write.parquet(gaps_at)
-    gaps = ledger.spark.read.schema(INTERVALS).parquet(gaps_at)
+    # numbers meet the processed intervals block by block: what is left are the gaps
+    fresh = iv.rows_outside(rows, "feed_id", "nth", processed)
+    fresh.write.option("compression", "zstd").parquet(f"{at}/rows")
+    fresh = spark.read.schema(fresh.schema).parquet(f"{at}/rows")
+    iv.merge(processed, iv.from_numbers(fresh, "feed_id")).write.parquet(f"{at}/intervals")
 
+    # the last record of a path in each run, then run by run what was in force before it
     record = F.struct("arrived_at", "feed_id", "size", "mtime_ms")
-    fresh = iv.rows_within(rows, "feed_id", gaps).groupBy("path").agg(F.max(record).alias("new"))
-    known = ledger.in_force(done).groupBy("path").agg(F.max(record).alias("old"))
-    force = (
-        fresh.join(known, "path", "left")
-        .where(F.col("old").isNull() | (F.col("new") > F.col("old")))
-        .select(
-            F.lit(run.run_no).cast("int").alias("run_no"),
-            "path",
-            "new.*",
-            (F.col("old").isNull() | (F.col("new.size") != F.col("old.size")) | (F.col("new.mtime_ms") != F.col("old.mtime_ms"))).alias("is_case"),
-        )
-    )
+    last = fresh.groupBy("path", "nth").agg(F.max(record).alias("r"))
+    known = ledger.in_force(before)
+    if before["base"] or before["changes"]:
+        known = known.join(fresh.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.max(record).alias("r"))
+        last = last.unionByName(known.select("path", F.lit(-1).alias("nth"), "r"))
+    upto = Window.partitionBy("path").orderBy("nth")
+    force = last.withColumn("now", F.max("r").over(upto.rowsBetween(Window.unboundedPreceding, 0))).withColumn("old", F.max("r").over(upto.rowsBetween(Window.unboundedPreceding, -1)))
+    force = force.where("nth >= 0").withColumn("final", F.lead("nth").over(upto).isNull())
+    force = force.select("path", "nth", "now", "old", "final")
     force.write.option("compression", "zstd").parquet(f"{at}/force")
-    iv.merge(processed, gaps).write.parquet(f"{at}/intervals")
+    force = spark.read.schema(force.schema).parquet(f"{at}/force")
+    number = F.element_at(F.array(*(F.lit(r.run_no).cast("int") for r in runs)), F.col("nth") + 1)
+    differs = F.col("old").isNull() | (F.col("now.size") != F.col("old.size")) | (F.col("now.mtime_ms") != F.col("old.mtime_ms"))
+    force.where(differs).select(number.alias("run_no"), "path", "now.size", "now.mtime_ms").write.option("compression", "zstd").parquet(f"{at}/cases")
+    changes = force.where(F.col("final") & (F.col("old").isNull() | (F.col("now") > F.col("old")))).select("path", "now.*")
+    changes.write.option("compression", "zstd").parquet(f"{at}/changes")
+
+    after = before | {
+        "runs": before["runs"] + [r.run_no for r in runs],
+        "cases": before["cases"] + [f"{folder}/cases"],
+        "changes": before["changes"] + [f"{folder}/changes"],
+        "intervals": f"{folder}/intervals",
+    }
+    base, grown = before["rows"]
+    grown += spark.read.schema(FORCE).parquet(f"{at}/changes").count()  # from the files' footers
+    after["rows"] = [base, grown]
+    if after["base"] is None and len(after["changes"]) == 1:
+        after |= {"base": after["changes"][0], "changes": [], "rows": [grown, 0]}
+    elif grown >= base or len(after["changes"]) > MOST_CHANGES:
+        whole = ledger.in_force(after).groupBy("path").agg(F.max(record).alias("r")).select("path", "r.*")
+        whole.write.option("compression", "zstd").parquet(f"{at}/base")
+        after |= {"base": f"{folder}/base", "changes": [], "rows": [spark.read.schema(FORCE).parquet(f"{at}/base").count(), 0]}
     if fail_before_commit:
         raise RuntimeError("stopped before the commit")
-    ledger.commit(done, {"run_no": run.run_no, "folder": folder})
+    ledger.commit(before, after)
 
 
 def successful_runs(runs: DataFrame) -> list[Run]:
@@ -157,6 +199,5 @@ def new_or_changed(feed: DataFrame, runs: DataFrame, root: str | None = None) ->
     """
     spark = feed.sparkSession
     ledger = Ledger(spark, root or work_path(spark, "ledger"))
-    for run in successful_runs(runs):
-        process_run(ledger, feed, run)
+    process_runs(ledger, feed, successful_runs(runs))
     return ledger.output()

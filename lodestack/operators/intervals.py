@@ -78,6 +78,38 @@ def subtract(available: DataFrame, processed: DataFrame) -> DataFrame:
     )
 
 
+def widest(intervals: DataFrame, most: int) -> list:
+    """The ``most`` widest ranges of a set, as rows (lo, hi); touching blocks count as one range.
+
+    A range that crosses a border of 2**18 blocks is given in parts.
+    """
+    far = F.shiftright("block", 18)
+    w = Window.partitionBy("far").orderBy("lo")
+    rows = intervals.select(far.alias("far"), "lo", "hi")
+    starts = rows.withColumn("starts", F.when(F.col("lo") == F.lag("hi").over(w) + 1, 0).otherwise(1))
+    whole = starts.withColumn("island", F.sum("starts").over(w)).groupBy("far", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return whole.select("lo", "hi").orderBy((F.col("hi") - F.col("lo")).desc(), "lo").limit(most).collect()
+
+
+def rows_outside(rows: DataFrame, column: str, order: str, intervals: DataFrame) -> DataFrame:
+    """The rows whose number lies in none of the (disjoint) intervals; of a number, those of its first ``order``.
+
+    Within a block numbers and intervals are sorted together and each number
+    looks at the last interval that starts at or before it.  Numbers are reduced
+    to distinct ones before they travel; rows meet only those that are to be left out.
+    """
+    n = F.col(column)
+    numbers = rows.groupBy(block_of(n).alias("block"), n.alias("n")).agg(F.min(order).alias("first"), F.max(order).alias("last"))
+    both = numbers.select("block", "n", F.lit(1).alias("k"), F.lit(None).cast("bigint").alias("hi"), "first", "last").unionByName(
+        intervals.select("block", F.col("lo").alias("n"), F.lit(0).alias("k"), "hi", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    )
+    w = Window.partitionBy("block").orderBy("n", "k").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("until", F.last("hi", ignorenulls=True).over(w)).where("k = 1").withColumn("done", F.coalesce(F.col("until") >= F.col("n"), F.lit(False)))
+    # nothing to say about a number that is new and came in one run only
+    noted = seen.where(F.col("done") | (F.col("first") < F.col("last"))).select(F.col("n").alias("_n"), "done", "first")
+    return rows.join(noted, n == F.col("_n"), "left").where(F.col("_n").isNull() | ~F.col("done") & (F.col(order) == F.col("first"))).select(*rows.columns)
+
+
 def rows_within(rows: DataFrame, column: str, intervals: DataFrame) -> DataFrame:
     """The rows whose number lies in one of the (disjoint) intervals.
 
