@@ -28,6 +28,11 @@ def once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
+def let(value: Column, of) -> Column:
+    """``of(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def sanitize(c: Column) -> Column:
     """Vertical tabs, form feeds and the Unicode line ends become line feeds; what can't be shown goes.
 
@@ -112,33 +117,38 @@ def trim_unicode(c: Column) -> Column:
     return F.regexp_replace(c, f"^{UNICODE_SPACE}+|{UNICODE_SPACE}+$", "")
 
 
+def _most(text: Column, side, fits, start: Column, pick) -> Column:
+    """The number of characters ``side`` may take of a short text, by trying all."""
+    return F.aggregate(F.sequence(F.lit(0), F.length(text)), start, lambda acc, k: F.when(fits(F.octet_length(side(text, k))), pick(acc, k)).otherwise(acc))
+
+
 def snippet(text: Column, lowered: Column, term: str) -> Column:
     """The first occurrence with 40 bytes of context on each side, cut at characters.
 
     Line feeds become spaces, the ends are trimmed, an ellipsis marks a cut.
     """
-    at = F.instr(lowered, F.lit(term))
+    n = len(term)
+
+    def body(v: Column) -> Column:
+        # context beyond 40 characters can't be within 40 bytes
+        near = lambda w: F.right(w["before"], _most(w["before"], F.right, lambda b: b <= SNIPPET_BYTES, F.lit(0), F.greatest))
+        rest = lambda w: F.left(w["after"], _most(w["after"], F.left, lambda b: b >= SNIPPET_BYTES, F.length(w["after"]), F.least))
+        at, source = v["at"], v["source"]
+        parts = F.struct(
+            F.right(F.substring(source, F.lit(1), at - 1), F.lit(SNIPPET_BYTES)).alias("before"),
+            F.substring(source, at, F.lit(n)).alias("hit"),
+            F.substring(source, at + n, F.lit(SNIPPET_BYTES)).alias("after"),
+            (at - 1).alias("n_before"),
+            F.greatest(F.length(source) - at - n + 1, F.lit(0)).alias("n_after"),
+        )
+        sides = lambda w: F.struct(near(w).alias("left"), w["hit"].alias("hit"), rest(w).alias("right"), w["n_before"].alias("n_before"), w["n_after"].alias("n_after"))
+        cut = lambda more: F.when(more, F.lit("…")).otherwise(F.lit(""))
+        shown = lambda w: F.concat(
+            cut(w["n_before"] > F.length(w["left"])),
+            trim_unicode(F.translate(F.concat(w["left"], w["hit"], w["right"]), "\n", " ")),
+            cut(w["n_after"] > F.length(w["right"])),
+        )
+        return let(let(parts, sides), shown)
+
     source = F.when(F.length(text) == F.length(lowered), text).otherwise(lowered)
-    before = F.substring(source, F.lit(1), at - 1)
-    after = F.substring(source, at + len(term), F.length(source))
-    # context beyond 40 characters can't be within 40 bytes
-    near = F.right(before, F.lit(SNIPPET_BYTES))
-    kept = F.aggregate(
-        F.sequence(F.lit(0), F.length(near)),
-        F.lit(0),
-        lambda acc, k: F.when(F.octet_length(F.right(near, k)) <= SNIPPET_BYTES, F.greatest(acc, k)).otherwise(acc),
-    )
-    next_ = F.left(after, F.lit(SNIPPET_BYTES))
-    rest = F.aggregate(
-        F.sequence(F.lit(0), F.length(next_)),
-        F.length(next_),
-        lambda acc, k: F.when(F.octet_length(F.left(next_, k)) >= SNIPPET_BYTES, F.least(acc, k)).otherwise(acc),
-    )
-    left = F.right(near, kept)
-    right = F.left(next_, rest)
-    body = trim_unicode(F.translate(F.concat(left, F.substring(source, at, F.lit(len(term))), right), "\n", " "))
-    return F.concat(
-        F.when(F.length(before) > F.length(left), F.lit("…")).otherwise(F.lit("")),
-        body,
-        F.when(F.length(after) > F.length(right), F.lit("…")).otherwise(F.lit("")),
-    )
+    return let(F.struct(F.instr(lowered, F.lit(term)).alias("at"), source.alias("source")), body)

@@ -87,7 +87,7 @@ def documents_of(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.select(path.alias("path"), text_column(F.col("content"), P.ext_of(path)).alias("text")).where("text is not null")
 
 
-def texts_at(queue: DataFrame, parsers: dict | None = None) -> DataFrame:
+def texts_at(queue: DataFrame, parsers: dict | None = None, seconds: float = MOST_SECONDS) -> DataFrame:
     """``(path, text)`` for a queue of paths that all workers can open.
 
     For queues too long to be named to one reader: each task opens its own files.
@@ -101,7 +101,7 @@ def texts_at(queue: DataFrame, parsers: dict | None = None) -> DataFrame:
         name = path.rpartition("/")[2]
         try:
             with open(path, "rb") as f:
-                return extract("." + name.rpartition(".")[2].lower() if "." in name else "", f.read(MOST_FILE + 1), parsers)
+                return extract("." + name.rpartition(".")[2].lower() if "." in name else "", f.read(MOST_FILE + 1), parsers, seconds)
         except OSError:
             return None
 

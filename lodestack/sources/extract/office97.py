@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 from lodestack.sources.extract.cfb import CompoundFile
@@ -14,74 +15,70 @@ _DOC_SIGNS = {0x0D: "\n", 0x07: "\n", 0x0B: "\n", 0x0C: "\n", 0x1E: "-", 0x09: "
 # -------------------------------------------------------------------------------
 
 
-def doc(data: bytes) -> str:
-    """The pieces of a Word document in order; of fields, the results."""
-    cfb = CompoundFile(data)
-    word = cfb.stream("WordDocument")
-    if word is None or len(word) < 0x200 or word[:2] != b"\xec\xa5":
-        raise ValueError("not a Word document")
-    lcid, flags = struct.unpack_from("<H", word, 6)[0], struct.unpack_from("<H", word, 10)[0]
-    if flags & 0x0100:
-        raise ValueError("the document is encrypted")
-    table = cfb.stream("1Table", "0Table") if flags & 0x0200 else cfb.stream("0Table", "1Table")
-    start, size = struct.unpack_from("<ii", word, 0x1A2)
-    if table is None or size <= 0 or start < 0 or start + size > len(table):
-        raise ValueError("the piece table is missing")
-    pieces = _piece_table(table[start : start + size])
-    n = len(pieces) // 12
-    bounds = struct.unpack_from(f"<{n + 1}i", pieces)
-    page = LCID_PAGE.get(lcid, "cp1252")
-    out: list[str] = []
-    total = 0
-    for k in range(n):
-        count = bounds[k + 1] - bounds[k]
-        place = struct.unpack_from("<I", pieces, (n + 1) * 4 + k * 8 + 2)[0]
-        narrow = place & 0x40000000
-        at = (place & 0x3FFFFFFF) >> 1 if narrow else place & 0x3FFFFFFF
-        raw = word[at : at + (count if narrow else 2 * count)] if count > 0 else b""
-        if count <= 0 or len(raw) < (count if narrow else 2 * count):
-            continue
-        out.append(_without_fields(raw.decode(page if narrow else "utf-16-le", "replace")))
-        total += len(out[-1])
-        if total >= MOST_CHARS:
-            break
-    return "".join(out)
-
-
-def _piece_table(clx: bytes) -> bytes:
-    at = 0
-    while at < len(clx):
-        if clx[at] == 1:
-            at += 3 + struct.unpack_from("<H", clx, at + 1)[0]
-        elif clx[at] == 2:
-            size = struct.unpack_from("<i", clx, at + 1)[0]
-            if size < 4 or at + 5 + size > len(clx):
+#: A field: its instruction, then maybe its result; without others inside.
+_FIELD = re.compile("\x13[^\x13\x14\x15]*(?:\x14([^\x13\x14\x15]*))?\x15")
+_SHOWN = dict.fromkeys(range(0x20)) | _DOC_SIGNS
+
+
+class _Word:
+    """A Word document by its information block: where the table of pieces is, and what a narrow piece is encoded in."""
+
+    def __init__(self, data: bytes):
+        cfb = CompoundFile(data)
+        self.text = cfb.stream("WordDocument") or b""
+        ident, _, _, language, _, flags = struct.unpack_from("<6H", self.text.ljust(12, b"\0"))
+        if ident != 0xA5EC or len(self.text) < 0x1AA:
+            raise ValueError("not a Word document")
+        if flags >> 8 & 1:
+            raise ValueError("the document is encrypted")
+        named = f"{flags >> 9 & 1}Table"
+        self.table = cfb.stream(named, "0Table", "1Table") or b""
+        self.page = LCID_PAGE.get(language, "cp1252")
+        at, size = struct.unpack_from("<II", self.text, 0x1A2)
+        self.clx = self.table[at : at + size]
+        if not size or len(self.clx) < size:
+            raise ValueError("the piece table is missing")
+
+    def pieces(self):
+        """``(offset, bytes a character, characters)`` of the pieces in order."""
+        clx = memoryview(self.clx)
+        while clx and clx[0] == 1:  # formatting runs before the table
+            clx = clx[3 + int.from_bytes(clx[1:3], "little") :]
+        size = int.from_bytes(clx[1:5], "little") if clx and clx[0] == 2 else 0
+        plc = clx[5 : 5 + size]
+        if size < 4 or len(plc) < size:
+            raise ValueError("the piece table is damaged")
+        count = (size - 4) // 12
+        ends, descriptors = plc[: 4 * count + 4].cast("i"), plc[4 * count + 4 :]
+        for k in range(count):
+            place = int.from_bytes(descriptors[8 * k + 2 : 8 * k + 6], "little")
+            narrow, place = bool(place >> 30 & 1), place & 0x3FFFFFFF
+            yield (place // 2, 1, ends[k + 1] - ends[k]) if narrow else (place, 2, ends[k + 1] - ends[k])
+
+    def read(self) -> str:
+        """The text of all pieces that lie inside the file, fields and all."""
+        out, size = [], 0
+        for place, width, chars in self.pieces():
+            raw = self.text[place : place + width * chars] if chars > 0 else b""
+            if not raw or len(raw) < width * chars:
+                continue
+            out.append(raw.decode(self.page if width == 1 else "utf-16-le", "replace"))
+            size += len(out[-1])
+            if size >= MOST_CHARS:
                 break
-            return clx[at + 5 : at + 5 + size]
-        else:
-            break
-    raise ValueError("the piece table is damaged")
-
-
-def _without_fields(text: str) -> str:
-    """Instructions of fields go, results stay; an end without a beginning is ignored."""
-    out, result = [], []  # result: per open field, whether its result has begun
-    for ch in text:
-        code = ord(ch)
-        if code == 0x13:
-            result.append(False)
-        elif code == 0x14:
-            if result:
-                result[-1] = True
-        elif code == 0x15:
-            if result:
-                result.pop()
-        elif all(result):
-            if code in _DOC_SIGNS:
-                out.append(_DOC_SIGNS[code])
-            elif code >= 0x20:
-                out.append(ch)
-    return "".join(out)
+        return "".join(out)
+
+
+def doc(data: bytes) -> str:
+    """The text of a Word document; of fields, the results.
+
+    Fields are taken away from the innermost outwards; marks of fields that don't
+    begin or end are dropped and what stands between them is kept.
+    """
+    text, n = _Word(data).read(), 1
+    while n:
+        text, n = _FIELD.subn(lambda m: m[1] or "", text)
+    return text.translate(_SHOWN)
 
 
 def xls(data: bytes) -> str:

@@ -1,7 +1,7 @@
 """A Python data source that lists directory trees as catalog rows.
 
-Each partition is a first-level entry of a root, so trees are walked by many
-tasks.  Links are listed as files and never followed (but for a root itself);
+The planner lists folders level by level until there are enough subtrees to give
+every task some, so one big folder below a root is walked by many tasks.  Links are listed as files and never followed (but for a root itself);
 pruned folders are not entered; what can't be read is skipped.
 """
 
@@ -14,6 +14,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestack.functions.paths import PRUNED_ANYWHERE
 
+#: Subtrees of a root the planner looks for, and how many levels deep.
+SPREAD, LEVELS = 64, 6
 SCHEMA = "path string, size bigint, mtime_ms bigint, kind string, scan_root string"
 
 
@@ -56,26 +58,36 @@ def walk(start: str, root: str) -> Iterator[tuple]:
 
 
 class _Part(InputPartition):
-    def __init__(self, root: str, below: list[str], first: bool):
-        super().__init__((root, tuple(below), first))
-        self.root, self.below, self.first = root, below, first
+    """Folders to list, and subtrees to walk, of one root."""
+
+    def __init__(self, root: str, folders: list[str], trees: list[str], first: bool = False):
+        super().__init__((root, tuple(folders), tuple(trees), first))
+        self.root, self.folders, self.trees, self.first = root, folders, trees, first
 
 
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.roots = [r for r in options.get("roots", options.get("path", "")).split("\n") if r]
         self.most = int(options.get("max_entries", 0))
+        self.spread = int(options.get("spread", SPREAD))
 
     def partitions(self) -> list[InputPartition]:
         parts: list[InputPartition] = []
         for root in self.roots:
             root = root.rstrip("/") or "/"
-            if os.path.isdir(root):
-                parts.append(_Part(root, [], True))
-                parts += [_Part(root, [f], False) for f in list_folder(root, root)[1]]
-            elif os.path.exists(root):
-                parts.append(_Part(root, [], True))
-        return parts or [_Part("", [], False)]
+            if not os.path.exists(root):
+                continue
+            listed, trees = [], [root] if os.path.isdir(root) else []
+            for _ in range(LEVELS):
+                if not trees or len(trees) >= self.spread:
+                    break
+                listed += trees
+                trees = [f for t in trees for f in list_folder(t, root)[1]]
+            parts.append(_Part(root, [], [], True))
+            parts += [_Part(root, listed[k::8], []) for k in range(min(8, len(listed)))]
+            n = min(len(trees), 4 * self.spread)
+            parts += [_Part(root, [], trees[k::n]) for k in range(n)]
+        return parts or [_Part("", [], [])]
 
     def read(self, part: _Part) -> Iterator[tuple]:
         n = 0
@@ -91,18 +103,18 @@ class TreeReader(DataSourceReader):
                 stat = os.stat(part.root)  # a root that is a link is followed
             except OSError:
                 return
-            folder = os.path.isdir(part.root)
-            yield _row(part.root, folder, stat, part.root)
-            if folder:
-                yield from list_folder(part.root, part.root)[0]
-        for start in part.below:
+            yield _row(part.root, os.path.isdir(part.root), stat, part.root)
+        for folder in part.folders:
+            yield from list_folder(folder, part.root)[0]
+        for start in part.trees:
             yield from walk(start, part.root)
 
 
 class TreeSource(DataSource):
     """``spark.read.format("tree").option("roots", "a\\nb").load()``; missing roots give no rows.
 
-    ``max_entries`` stops each partition after so many rows.
+    ``max_entries`` stops each task after so many rows, ``spread`` is the number
+    of subtrees the planner looks for.
     """
 
     @classmethod
@@ -117,9 +129,10 @@ class TreeSource(DataSource):
 
 
 def scan(spark, roots: list[str], max_entries: int = 0):
-    """Catalog rows of the trees below ``roots``, each path once."""
+    """Catalog rows of the trees below ``roots``, each path once; at most ``max_entries`` in all, if given."""
     spark.dataSource.register(TreeSource)
     reader = spark.read.format("tree").option("roots", "\n".join(roots))
     if max_entries:
         reader = reader.option("max_entries", str(max_entries))
-    return reader.load().dropDuplicates(["path"])
+    rows = reader.load().dropDuplicates(["path"])
+    return rows.limit(max_entries) if max_entries else rows
