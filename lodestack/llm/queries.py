@@ -33,8 +33,10 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "content_store").select(F.lit("text").alias("src_field"), F.col("row_id").alias("rec_id"), "text")
-    names = table(spark, sf_dir, "name_record").select(F.lit("name").alias("src_field"), F.col("name_id").alias("rec_id"), F.col("name").alias("text"))
+    # where a record comes from: the volume and first folder of its path
+    source = F.substring_index("path", "/", 4).alias("source")
+    texts = table(spark, sf_dir, "content_store").select(F.lit("text").alias("src_field"), F.col("row_id").alias("rec_id"), "text", source)
+    names = table(spark, sf_dir, "name_record").select(F.lit("name").alias("src_field"), F.col("name_id").alias("rec_id"), F.col("name").alias("text"), source)
     rows = texts.unionByName(names)
     return mojibake.restored(rows, mojibake.learn(rows, table(spark, sf_dir, "lang_sample")))
 
