@@ -9,6 +9,14 @@ that agrees in ``AGREE`` coordinates must meet in one of the ``COORDS - AGREE +
 1`` rarest of either, so only this prefix is posted; the remaining, longer lists
 are skipped and their collisions counted on the packed signatures that travel
 with a posting.  What reaches the threshold is checked on the token sets.
+
+A list longer than ``HOT`` comes from a template that many texts share, and its
+pairs grow with its square though few are alike.  Such lists aren't joined.  The
+classes that would have been posted there are joined exactly on their n-grams
+instead: a pair that reaches the threshold has one of its rarest n-grams in
+common (prefixes as long as size and threshold ask for), at a place that leaves
+enough behind it.  A template's n-grams are common, so they lie beyond the prefix
+unless the texts are alike by it.
 """
 
 from __future__ import annotations
@@ -31,9 +39,12 @@ AGREE = 14
 #: Lower thresholds ask for fewer, so that a pair at the threshold is met with
 #: this probability.
 MET = 0.999
-SKETCH_BITS = 20
-#: A posting list longer than this is split over several tasks.
-HOT = 4096
+#: Counters of the frequency sketch: a few for each posting, at least and at most so many (bits); one byte each.
+SKETCH_BITS = (16, 24)
+#: A posting list longer than this, beyond what its counter holds by chance, is joined exactly instead.
+HOT = 2048
+#: Rows of a class, or of a list of n-grams, one task compares with the others.
+PART = 2048
 
 _SEED = np.random.default_rng(20240607)
 _A = _SEED.integers(0, 1 << 62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,18 +118,49 @@ def _signatures(batch: pa.RecordBatch, column: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint32).reshape(-1, COORDS)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for batch in batches:
-        if batch.num_rows:
-            total += np.bincount((_slots(_signatures(batch, 0)) >> np.uint64(64 - SKETCH_BITS)).ravel().astype(np.int64), minlength=len(total))
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"slot": pa.array(some), "n": pa.array(total[some])})
+def sketch_bits(postings: int) -> int:
+    return min(SKETCH_BITS[1], max(SKETCH_BITS[0], math.ceil(math.log2(max(postings, 1)))))
+
+
+class Sketch:
+    """How often hashes occur, about: one byte a counter, in eighths of a power of two."""
+
+    def __init__(self, total: np.ndarray):
+        self.bits = int(len(total)).bit_length() - 1
+        self.level = np.rint(8 * np.log2(1 + total)).astype(np.uint8)
+        self.usual = float(total.mean())
 
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return self.level[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)]
+
+    @staticmethod
+    def count(level: np.ndarray) -> np.ndarray:
+        return np.exp2(level / 8) - 1
+
+
+def _counted(rows: DataFrame, hashes, bits: int) -> Sketch:
+    """The sketch of the hashes ``hashes(batch)`` gives; its size depends on ``bits`` only."""
 
-def _post(shared, agree: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency = shared.value
+        total = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += np.bincount((hashes(batch) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(total))
+        some = np.flatnonzero(total)
+        for i in range(0, len(some), 1 << 16):
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(some[i : i + (1 << 16)]), "n": pa.array(total[some[i : i + (1 << 16)]])})
+
+    total = np.zeros(1 << bits, np.int64)
+    for b in rows.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        total[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    return Sketch(total)
+
+
+def _post(shared, agree: int, hot: float) -> callable:
+    """Postings of the prefix; the list of a hot slot isn't kept, but who would have been on it is said (slot null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch: Sketch = shared.value
         prefix = COORDS - agree + 1
         for batch in batches:
             if not batch.num_rows:
@@ -127,21 +169,99 @@ def _post(shared, agree: int) -> callable:
             for i in range(0, len(ids), 2000):
                 sig = _signatures(batch.slice(i, 2000), 1)
                 slots = _slots(sig)
-                seen = frequency[(slots >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                seen = sketch.of(slots)
                 # one order for all: estimated frequency, then the key itself
                 order = np.lexsort((slots, seen), axis=1)[:, :prefix]
                 packed = np.ascontiguousarray(sig.astype(np.uint8)).view(np.int64)
+                often = Sketch.count(np.take_along_axis(seen, order, 1)) > hot
+                keep = ~often
+                keep[:, 0] |= often.any(1)  # one row says so
+                templated = np.zeros_like(often)
+                templated[:, 0] = often.any(1)
+                slot = np.take_along_axis(slots, order, 1).view(np.int64)
+                row = np.repeat(np.arange(len(sig)), prefix)[keep.ravel()]
                 cols = {
-                    "slot": np.take_along_axis(slots, order, 1).ravel().view(np.int64),
-                    "n": np.take_along_axis(seen, order, 1).ravel(),
-                    "row_id": np.repeat(ids[i : i + 2000], prefix),
+                    "slot": pa.array(slot[keep], mask=often[keep]),
+                    "templated": pa.array(templated[keep]),
+                    "row_id": pa.array(ids[i : i + 2000][row]),
+                }
+                cols |= {f"s{k}": pa.array(packed[row, k]) for k in range(COORDS // 8)}
+                yield pa.RecordBatch.from_pydict(cols)
+
+    return run
+
+
+def _lists(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list column, whatever its slice."""
+    col = batch.column(column)
+    offsets = col.offsets.to_numpy()
+    return col.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64), offsets - offsets[0]
+
+
+def prefix_lengths(size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rarest n-grams a set is looked up by, and those it is listed under for sets of its size and more."""
+    most = np.ceil(threshold * size - 1e-9)
+    listed = np.ceil(2 * threshold / (1 + threshold) * size - 1e-9)
+    return (size - most + 1).astype(np.int64), (size - listed + 1).astype(np.int64)
+
+
+def _rarest(shared, threshold: float) -> callable:
+    """``(gram, row_id, size, place, listed)`` of the prefix of each set, in one order for all: rarity, then hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch: Sketch = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            grams, offsets = _lists(batch, 1)
+            size = np.diff(offsets)
+            owner = np.repeat(np.arange(len(ids)), size)
+            seen = sketch.of(tk.mix(grams))
+            order = np.lexsort((grams, seen, owner))
+            place = np.arange(len(grams)) - offsets[owner]
+            probe, listed = prefix_lengths(size, threshold)
+            keep = place < probe[owner]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "gram": pa.array(grams[order][keep].view(np.int64)),
+                    "n": pa.array(np.minimum(Sketch.count(seen[order][keep]), 2**30).astype(np.int32)),
+                    "row_id": pa.array(ids[owner[keep]]),
+                    "size": pa.array(size[owner[keep]].astype(np.int32)),
+                    "place": pa.array(place[keep].astype(np.int32)),
+                    "listed": pa.array((place < listed[owner])[keep]),
                 }
-                cols |= {f"s{k}": np.repeat(packed[:, k], prefix) for k in range(COORDS // 8)}
-                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in cols.items()})
+            )
 
     return run
 
 
+def _dealt(a: DataFrame, b: DataFrame, n: Column, part: int = PART) -> tuple[DataFrame, DataFrame]:
+    """Two sides of a join with a column ``part`` more to meet in: long lists are spread over several tasks."""
+    parts = F.greatest(F.ceil(n / part), F.lit(1)).cast("int")
+    return a.withColumn("part", F.pmod(F.xxhash64("row_id"), parts).cast("int")), b.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+
+
+def exact_candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """``(class_a, class_b)``: every pair of sets (row_id, grams) that may reach the threshold, by prefix, length and place."""
+    spark = sets.sparkSession
+    total = sets.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
+    if not total:
+        return spark.createDataFrame([], "class_a bigint, class_b bigint")
+    sketch = _counted(sets.select("grams"), lambda b: tk.mix(_lists(b, 0)[0]), sketch_bits(total))
+    shared = spark.sparkContext.broadcast(sketch)
+    posts = sets.mapInArrow(_rarest(shared, threshold), "gram bigint, n int, row_id bigint, size int, place int, listed boolean")
+    posts = materialize(posts, "rarest")
+    a, b = _dealt(posts, posts.where("listed"), F.col("n"))
+    a, b = a.alias("a"), b.alias("b")
+    smaller = (F.col("b.size") < F.col("a.size")) | (F.col("b.size") == F.col("a.size")) & (F.col("b.row_id") < F.col("a.row_id"))
+    long_enough = F.col("b.size") >= F.lit(threshold) * F.col("a.size") - 1e-9
+    left = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
+    enough = left >= F.lit(threshold / (1 + threshold)) * (F.col("a.size") + F.col("b.size")) - 1e-6
+    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.part") == F.col("b.part")) & smaller & long_enough & enough)
+    return met.select(F.least("a.row_id", "b.row_id").alias("class_a"), F.greatest("a.row_id", "b.row_id").alias("class_b")).distinct()
+
+
 def _agreeing() -> Column:
     """How many bytes of the packed signatures are equal."""
     ones = F.lit(0x0101010101010101)
@@ -172,10 +292,11 @@ class NearDuplicates:
     links join different classes whose similarity is at least ``threshold``.
     Null ids, null texts and texts without a letter or digit belong to no class;
     a text with fewer than n tokens is alike only to one with the same tokens.  A
-    row_id that occurs twice with the same text counts once.
+    row_id that occurs twice with the same text counts once.  Lists longer than
+    ``hot`` are joined exactly (see the module).
     """
 
-    def __init__(self, rows: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "row_id", text_col: str = "text"):
+    def __init__(self, rows: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "row_id", text_col: str = "text", hot: int = HOT):
         agree = agreement(threshold)
         spark = rows.sparkSession
         texts = rows.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("text"))
@@ -188,19 +309,24 @@ class NearDuplicates:
         heads = signed.where("shingles").join(classes.where("shingles").select(F.col("class_id"), "k1", "k2"), ["k1", "k2"]).where("row_id = class_id")
         heads = materialize(heads.select("row_id", "sig").dropDuplicates(["row_id"]), "heads")
 
-        counted = heads.select("sig").mapInArrow(_sketch, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)  # as large for any input
-        sketch[counted.slot.to_numpy(np.int64)] = counted.n.to_numpy(np.int64)
-        shared = spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
+        n_heads = heads.count()
+        bits = sketch_bits(n_heads * COORDS)
+        sketch = _counted(heads.select("sig"), lambda b: _slots(_signatures(b, 0)).ravel(), bits)
+        shared = spark.sparkContext.broadcast(sketch)
         packs = [f"s{k}" for k in range(COORDS // 8)]
-        posts = heads.select("row_id", "sig").mapInArrow(_post(shared, agree), "slot bigint, n int, row_id bigint, " + ", ".join(f"{p} bigint" for p in packs))
-        parts = F.ceil(F.col("n") / HOT).cast("int")
-        left = posts.withColumn("part", F.pmod(F.xxhash64("row_id"), parts).cast("int")).alias("a")
-        right = posts.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("b")
-        met = left.join(
-            right, (F.col("a.slot") == F.col("b.slot")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.row_id") < F.col("b.row_id")) & (_agreeing() >= agree)
+        posts = heads.select("row_id", "sig").mapInArrow(
+            _post(shared, agree, hot + 2 * sketch.usual), "slot bigint, templated boolean, row_id bigint, " + ", ".join(f"{p} bigint" for p in packs)
         )
-        candidates = materialize(met.select(F.col("a.row_id").alias("class_a"), F.col("b.row_id").alias("class_b")).distinct(), "candidates")
+        posts = materialize(posts, "posts")
+        on_lists = posts.where("slot is not null")
+        a, b = on_lists.alias("a"), on_lists.alias("b")
+        met = a.join(b, (F.col("a.slot") == F.col("b.slot")) & (F.col("a.row_id") < F.col("b.row_id")) & (_agreeing() >= agree))
+        met = met.select(F.col("a.row_id").alias("class_a"), F.col("b.row_id").alias("class_b"))
+        templated = posts.where("templated").select("row_id").distinct()
+        if not templated.isEmpty():
+            own = texts.join(templated, "row_id", "left_semi").dropDuplicates(["row_id"]).mapInArrow(_sets(n), "row_id bigint, grams array<bigint>")
+            met = met.unionByName(exact_candidates(materialize(own, "templated"), threshold))
+        self.candidates = candidates = materialize(met.distinct(), "candidates")
 
         wanted = candidates.select(F.explode(F.array("class_a", "class_b")).alias("row_id")).distinct()
         sets = texts.join(wanted, "row_id", "left_semi").dropDuplicates(["row_id"]).mapInArrow(_sets(n), "row_id bigint, grams array<bigint>")
@@ -221,7 +347,11 @@ class NearDuplicates:
         """
         a = self.members.select(F.col("row_id").alias("ra"), F.col("class_id").alias("class_a"))
         b = self.members.select(F.col("row_id").alias("rb"), F.col("class_id").alias("class_b"))
-        same = a.join(b, (F.col("class_a") == F.col("class_b")) & (F.col("ra") < F.col("rb"))).select("ra", "rb")
+        # a class of many copies is spread: each row of a part meets all rows
+        sized = self.members.join(self.members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1"), "class_id")
+        one, all_ = (df.alias(k) for k, df in zip("xy", _dealt(sized, sized, F.col("n"))))
+        same = one.join(all_, (F.col("x.class_id") == F.col("y.class_id")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.row_id") < F.col("y.row_id")))
+        same = same.select(F.col("x.row_id").alias("ra"), F.col("y.row_id").alias("rb"))
         other = self.links.join(a, "class_a").join(b, "class_b").select("ra", "rb").where("ra <> rb")
         return same.unionByName(other).select(F.least("ra", "rb").alias("row_a"), F.greatest("ra", "rb").alias("row_b")).distinct()
 

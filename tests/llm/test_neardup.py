@@ -85,13 +85,58 @@ def test_odd_rows(spark):
     assert empty.row_pairs().count() == 0 and empty.groups().count() == 0
 
 
-def test_hot_group(spark, monkeypatch):
-    """A third of all rows are copies of one text, some with an edit; no link is lost."""
-    monkeypatch.setattr(nd, "HOT", 8)
+@pytest.mark.parametrize("hot", [8, 100_000])
+def test_hot_group(spark, monkeypatch, hot):
+    """A third of all rows are copies of one text, some with an edit; no link is lost, with or without long lists."""
+    monkeypatch.setattr(nd, "PART", 8)
     base = [f"h{k}" for k in range(60)]
     rows = [(i, " ".join(base)) for i in range(40)] + [(100 + i, " ".join(base[:10] + [f"e{i}"] + base[11:])) for i in range(30)]
     rows += [(1000 + i, f"other text number {i} of no interest at all {i * 7}") for i in range(100)]
-    assert {(r.row_a, r.row_b) for r in nd.NearDuplicates(frame(spark, rows), n=4, threshold=0.6).row_pairs().collect()} == brute(rows, 4, 0.6)
+    assert {(r.row_a, r.row_b) for r in nd.NearDuplicates(frame(spark, rows), n=4, threshold=0.6, hot=hot).row_pairs().collect()} == brute(rows, 4, 0.6)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.8, 0.95])
+def test_exact_join(spark, threshold):
+    """Every pair at or above the threshold is a candidate, sets of all sizes among them."""
+    rng = random.Random(9)
+    common = list(range(40))
+    sets = [sorted({*rng.sample(common, rng.randrange(0, 40)), *(rng.randrange(100, 400) for _ in range(rng.randrange(1, 30)))}) for _ in range(150)]
+    for k in range(150):
+        near = set(sets[k])
+        for _ in range(rng.randrange(0, 6)):
+            near.discard(rng.choice(sorted(near or {0})))
+            near.add(rng.randrange(100, 400))
+        sets.append(sorted(near))
+    df = spark.createDataFrame(list(enumerate(sets)), "row_id bigint, grams array<bigint>")
+    got = {tuple(r) for r in nd.exact_candidates(df, threshold).collect()}
+    own = [set(s) for s in sets]
+    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if len(own[a] & own[b]) >= threshold * len(own[a] | own[b])}
+    assert want and want <= got
+    assert nd.exact_candidates(df.limit(0), threshold).count() == 0
+
+
+def template(n, seed=3):
+    """Texts that are half one form, half their own; every tenth has a copy with one word changed."""
+    rng = random.Random(seed)
+    form = [f"form{k}" for k in range(30)]
+    rows = []
+    for i in range(n):
+        own = [f"v{rng.randrange(10**6)}" for _ in range(30)]
+        rows.append((2 * i, " ".join(form[:15] + own + form[15:])))
+        if i % 10 == 0:
+            own[rng.randrange(30)] = "changed"
+            rows.append((2 * i + 1, " ".join(form[:15] + own + form[15:])))
+    return rows
+
+
+def test_template(spark):
+    """Candidates of a template grow with the texts, not with their square, and no link is lost."""
+    rows = template(6000)
+    got = nd.NearDuplicates(frame(spark, rows), n=4, threshold=0.6, hot=256)
+    links = {(r.class_a, r.class_b) for r in got.links.collect()}
+    want = {(i - 1, i) for i, _ in rows if i % 2}
+    assert len(want) == 600 and want <= links
+    assert got.candidates.count() < 4 * len(rows)  # all pairs are 3 300 a row
 
 
 def test_components(spark):
