@@ -29,6 +29,9 @@ CYRILLIC = "АВЕКМНОРСТУХІЅЈԚԜӀѴаеорсухіѕјһԁԛԝӏ
 CYR_LATIN = "ABEKMHOPCTYXISJQWIVaeopcyxisjhdqwlv"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹοϲϳνρ"
 GRK_LATIN = "ABEZHIKMNOPTYXCocjvp"
+# letters of scripts that lend theirs for their looks only: Armenian, Coptic, Cherokee, Lisu
+LENT = "օոսհցգյՕՍՏԼ" + "ⲟⲣⲥⲭⲟⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲎⲂ" + "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏟᏢᏙᏚᏞᏦᏴ" + "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+LENT_LATIN = "onuhgqjOUSL" + "opcxoIKMNOPCTYXHB" + "DRTAJEWMHYGZCPVSLKB" + "BPDTGKJCZFMNLSRVHWXYAEIOU"
 LATIN_VARIANTS = "ɡɑ"
 LATIN_PLAIN = "ga"
 # letters hardly used but to imitate Latin ones
@@ -116,7 +119,8 @@ class Forms:
         self.unstable = re.compile(f"[{unstable}]")
         self.segment = re.compile(f"[^{unstable}]?[{unstable}]+")
         cyr, grk = dict(zip(CYRILLIC, CYR_LATIN)), dict(zip(GREEK, GRK_LATIN))
-        twins = {**cyr, **grk, **dict(zip(LATIN_VARIANTS, LATIN_PLAIN))}
+        self.lent = dict(zip(LENT, LENT_LATIN))
+        twins = {**cyr, **grk, **dict(zip(LATIN_VARIANTS, LATIN_PLAIN)), **self.lent}
         for cp in [*range(0x370, 0x530), *range(0x1F00, 0x2000)]:  # accented twins follow their base letters
             d = unicodedata.normalize("NFD", chr(cp))
             if len(d) > 1 and d[0] in twins:
@@ -129,7 +133,7 @@ class Forms:
         self.latin_with_twin = {*self.to_cyrillic, *self.to_greek, *twins.values()}
         self.skeleton_map = str.maketrans(twins)
         latin, other = "A-Za-zÀ-ɏɡɑḀ-ỿ", "Ͱ-ԯἀ-῿"
-        self.mixes = re.compile(f"[{latin}][{other}]|[{other}][{latin}]|[Ͱ-Ͽ][Ѐ-ԯ]|[Ѐ-ԯ][Ͱ-Ͽ]|[{IMPOSTORS}{LATIN_VARIANTS}]")
+        self.mixes = re.compile(f"[{latin}][{other}]|[{other}][{latin}]|[Ͱ-Ͽ][Ѐ-ԯ]|[Ѐ-ԯ][Ͱ-Ͽ]|[{latin}{other}][{LENT}]|[{LENT}][{latin}{other}]|[{IMPOSTORS}{LATIN_VARIANTS}]")
         self.word = re.compile(r"[^\W\d_]+")
 
 
@@ -166,7 +170,7 @@ def _resolve(m: re.Match) -> str:
     back = f.to_cyrillic if target == 1 else f.to_greek
     out = []
     for ch in word:
-        if _script(ch) in (target, 3):
+        if ch not in f.lent and _script(ch) in (target, 3):
             out.append(ch)
         else:
             to = f.twins.get(ch, ch)
@@ -190,15 +194,35 @@ def canonical_text(text: str | None) -> str | None:
     f = forms()
     if f.unstable.search(text):
         text = f.segment.sub(_normalise, text)
-    for _ in range(4):  # a letter put right may take up the accent behind it
-        if not f.mixes.search(text):
-            break
+    while f.mixes.search(text):  # a letter put right may take up the accent behind it
         before, text = text, unicodedata.normalize("NFC", f.word.sub(_resolve, text))
         if text == before:
             break
     return text
 
 
+def canonical_spans(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """A text in its form, and for each of its characters where what it was made of begins and ends in the text.
+
+    Should resolving words change the length (an accent taken up), the text is
+    left as it is before that.
+    """
+    f = forms()
+    pieces, begins, ends, at = [], [], [], 0
+    for m in f.segment.finditer(text):
+        new = _normalise(m)
+        pieces += [text[at : m.start()], new]
+        begins += [np.arange(at, m.start()), np.full(len(new), m.start())]
+        ends += [np.arange(at + 1, m.start() + 1), np.full(len(new), m.end())]
+        at = m.end()
+    pieces.append(text[at:])
+    begins.append(np.arange(at, len(text)))
+    ends.append(np.arange(at + 1, len(text) + 1))
+    formed = "".join(pieces)
+    whole = canonical_text(formed)
+    return whole if len(whole) == len(formed) else formed, np.concatenate(begins), np.concatenate(ends)
+
+
 def reading_key(text: str | None) -> str | None:
     """Equal for texts that read the same: look-alike letters as their Latin twins."""
     text = canonical_text(text)

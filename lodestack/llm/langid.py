@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.bytenet import ByteNet, clean, windows
-from lodestack.llm.forms import canonical_text
+from lodestack.llm.forms import canonical_spans
 
 #: Labelled rows the network is trained on at most, taken by a hash of their id.
 TRAIN_ROWS = 4000
@@ -105,15 +105,19 @@ def sentences(text: str) -> list[tuple[int, int, float]]:
     return out
 
 
-def judge(net: ByteNet, texts: list[str | None]) -> list[list[tuple[int, int, float, str, float]]]:
-    """``(start, end, share, lang, confidence)`` of the sentences of each text."""
+def judge(net: ByteNet, texts: list[str | None], short: bool = False) -> list[list[tuple[int, int, float, str, float]]]:
+    """``(start, end, share, lang, confidence)`` of the sentences of each text, in places of the text as it is.
+
+    ``short``: a text without a sentence is judged as a whole, with share 0.
+    """
     pieces: list[bytes] = []
     where: list[list[tuple[int, int, float]]] = []
-    for text in texts:
+    spans: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # where the characters of a formed text come from
+    for n, text in enumerate(texts):
         text = text or ""
         if _NEEDS_FORM.search(text):
-            text = canonical_text(text)
-        cuts = sentences(text)
+            text, *spans[n] = canonical_spans(text)
+        cuts = sentences(text) or ([(0, len(text), 0.0)] if short and _WORD.search(text) else [])
         where.append(cuts)
         pieces += [clean(text[a:b].strip()).encode("utf-8", "replace") for a, b, _ in cuts]
     if not pieces:
@@ -141,7 +145,10 @@ def judge(net: ByteNet, texts: list[str | None]) -> list[list[tuple[int, int, fl
             best[k : k + len(w)] = _path(rated[k : k + len(w)])
         k += len(w)
     k = 0
-    for w in where:
+    for t, w in enumerate(where):
+        if t in spans:
+            begins, ends = spans[t]
+            w = [(int(begins[a]), int(ends[b - 1]), s) for a, b, s in w]
         out.append([(a, b, s, net.labels[best[k + n]], float(post[k + n, best[k + n]])) for n, (a, b, s) in enumerate(w)])
         k += len(w)
     return out
@@ -195,14 +202,14 @@ def _segments(shared, documents: bool) -> callable:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[list] = [[] for _ in schema]
             for i, j in _slices(texts):
-                for doc, found in zip(ids[i:j], judge(net, texts[i:j])):
+                for doc, found in zip(ids[i:j], judge(net, texts[i:j], documents)):
                     if documents:
                         sums: dict[str, list[float]] = {}
                         for a, b, s, lang, conf in found:
                             x = sums.setdefault(lang, [0.0, 0.0])
                             x[0] += s
-                            x[1] += s * conf
-                        rows = [(doc, lang, n, c / n) for lang, (n, c) in sums.items()]
+                            x[1] += s * conf if s else conf
+                        rows = [(doc, lang, n, c / n if n else c) for lang, (n, c) in sums.items()]
                     else:
                         rows, prev = [], None
                         for a, b, s, lang, conf in found:
@@ -235,14 +242,18 @@ def _apply(documents: DataFrame, net: ByteNet, whole: bool) -> DataFrame:
 def language_segments(documents: DataFrame, net: ByteNet) -> DataFrame:
     """``(doc_id, segment, start, end, lang, sentences, confidence)``.
 
-    Offsets are characters of the text in its consistent form.  Null ids and
+    Offsets are characters of the text as it is.  Null ids and
     texts, and texts without prose, have no segment.
     """
     return _apply(documents, net, False)
 
 
 def document_languages(documents: DataFrame, net: ByteNet) -> DataFrame:
-    """``(doc_id, lang, sentences, confidence)``: every language a document speaks."""
+    """``(doc_id, lang, sentences, confidence)``: every language a document speaks.
+
+    A text without a whole sentence (a title, a list) has one row with what it
+    looks like and 0 sentences; one without a letter has none.
+    """
     return _apply(documents, net, True)
 
 

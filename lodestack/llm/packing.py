@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 
 from lodestack.session import materialize
 
+#: Setting that names the rank file of a tokenizer, and what it is where it is unset.
+VOCABULARY_SETTING = "spark.lodestack.vocabulary"
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # fixed value: the split that belongs to the rank files
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SALTS = 64
+#: Items of one length are numbered by groups of about so many, at least in SALTS groups.
+SALTS, GROUP_ITEMS = 64, 200_000
 #: Places of one length are numbered below this.
 _RANKS = 1 << 40
 
@@ -51,12 +54,14 @@ def _measure(shared, pattern: str) -> callable:
     return run
 
 
-def token_lengths(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, id_col: str = "doc_id") -> DataFrame:
+def token_lengths(documents: DataFrame, vocabulary: str | None = None, pattern: str = PATTERN, id_col: str = "doc_id") -> DataFrame:
     """``(doc_id, n_tokens)``: sizes of the whole texts; null ids and texts are left out.
 
-    The vocabulary file is read on the driver and sent to the tasks.  An id with
+    The vocabulary file (by default the one ``VOCABULARY_SETTING`` names) is read on
+    the driver and sent to the tasks.  An id with
     several texts has the size of the largest.
     """
+    vocabulary = vocabulary or documents.sparkSession.conf.get(VOCABULARY_SETTING, VOCABULARY)
     with open(vocabulary, "rb") as f:
         shared = documents.sparkSession.sparkContext.broadcast(f.read())
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
@@ -151,6 +156,9 @@ def pack(lengths: DataFrame, specs: list[tuple[int, int]]) -> DataFrame:
     shown = ["spec_id", "container", "doc_id", "piece", "start_token", "n_tokens"]
     if not specs:
         return spark.createDataFrame([], ddl).select(*shown)
+    least = min(c for _, c in specs)
+    pieces = lengths.where("n_tokens > 0").agg(F.sum(F.expr(f"(n_tokens - 1) div {least} + 1"))).first()[0] or 0
+    salts = max(SALTS, -(-pieces // GROUP_ITEMS))
     each = F.explode(F.array(*(F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).cast("bigint").alias("capacity")) for s, c in specs)))
     items = lengths.where("doc_id is not null and n_tokens > 0").select("doc_id", F.col("n_tokens").alias("total"), each.alias("spec"))
     items = items.select("doc_id", "total", "spec.*", F.explode(F.expr("sequence(0L, (total - 1) div spec.capacity)")).alias("piece"))
@@ -160,7 +168,7 @@ def pack(lengths: DataFrame, specs: list[tuple[int, int]]) -> DataFrame:
         "piece",
         (F.col("piece") * F.col("capacity")).alias("start_token"),
         F.least(F.col("capacity"), F.col("total") - F.col("piece") * F.col("capacity")).alias("n_tokens"),
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int").alias("salt"),
     )
     # how many items each length has, split by salt so that a length everyone has is spread
     counts = materialize(items.groupBy("spec_id", "n_tokens", "salt").agg(F.count("*").alias("n")), "counts")
@@ -184,7 +192,26 @@ def pack(lengths: DataFrame, specs: list[tuple[int, int]]) -> DataFrame:
     return ranked.mapInArrow(_place(shared), ddl).select(*shown)
 
 
-def pack_documents(documents: DataFrame, specs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def packing_invariants(packed: DataFrame, lengths: DataFrame, specs: list[tuple[int, int]]) -> DataFrame:
+    """``(spec_id, documents, misplaced, above_capacity, split_needlessly)``: what must hold of a packing, counted.
+
+    ``misplaced``: documents whose pieces don't add up to them exactly once;
+    ``split_needlessly``: documents within the capacity that lie in pieces.
+    """
+    cap = F.lit(None).cast("bigint")
+    for s, c in specs:
+        cap = F.when(F.col("spec_id") == s, c).otherwise(cap)
+    full = packed.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("n")).where(F.col("n") > cap).groupBy("spec_id").agg(F.count("*").alias("above_capacity"))
+    own = packed.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.min("start_token").alias("start"))
+    checked = own.join(lengths.select("doc_id", F.col("n_tokens").alias("whole")), "doc_id", "left")
+    good = (F.col("n") == F.col("whole")) & (F.col("end") == F.col("whole")) & (F.col("start") == 0)
+    counted = checked.groupBy("spec_id").agg(
+        F.count("*").alias("documents"), F.count_if(~F.coalesce(good, F.lit(False))).alias("misplaced"), F.count_if((F.col("pieces") > 1) & (F.col("whole") <= cap)).alias("split_needlessly")
+    )
+    return counted.join(full, "spec_id", "left").select("spec_id", "documents", "misplaced", F.coalesce("above_capacity", F.lit(0)).alias("above_capacity"), "split_needlessly")
+
+
+def pack_documents(documents: DataFrame, specs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``pack`` over the texts of ``documents`` for every row of ``specs``.
 
     Specs (spec_id, capacity_tokens) are settings, a handful; rows without id or

@@ -9,6 +9,32 @@ from lodestack.llm.forms import canonical_column, skeleton_column
 from lodestack.session import materialize
 
 SALTS = 16
+#: Spellings of one reading that one task compares with the others.
+SPELLINGS = 2048
+
+
+def canonical_rows(rows: DataFrame, field: str, id_col: str, value_col: str) -> DataFrame:
+    """``(src_field, id, form)``: each value in its one consistent form, null values as null.
+
+    Lists (of strings) come out as one text, their elements joined by a bar; a
+    null element is left out.  Null ids are left out.
+    """
+    value = F.col(value_col)
+    if rows.schema[value_col].dataType.typeName() == "array":
+        value = F.array_join(value, "|")
+    return rows.where(F.col(id_col).isNotNull()).select(F.lit(field).alias("src_field"), F.col(id_col).cast("bigint").alias("id"), canonical_column(value).alias("form"))
+
+
+def reading_groups(rows: DataFrame) -> DataFrame:
+    """``(src_field, id, group_id, n_rows, n_spellings)`` from ``readings``: one row a value that some other reads like.
+
+    The bounded form of ``same_reading_pairs``: a group are all rows with one
+    reading, named after its smallest id; groups of one spelling are left out.
+    """
+    rows = materialize(rows.distinct(), "readings")
+    spelled = rows.groupBy("src_field", "key", "value").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    groups = spelled.groupBy("src_field", "key").agg(F.min("least").alias("group_id"), F.sum("n").alias("n_rows"), F.count("*").alias("n_spellings"))
+    return rows.join(groups.where("n_spellings > 1"), ["src_field", "key"]).select("src_field", "id", "group_id", "n_rows", "n_spellings").distinct()
 
 
 def readings(rows: DataFrame, field: str, id_col: str, value_col: str) -> DataFrame:
@@ -34,10 +60,12 @@ def list_readings(rows: DataFrame, field: str, id_col: str, list_col: str) -> Da
     kept = rows.where(F.col(id_col).isNotNull() & F.col(list_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("id"), F.col(list_col).alias("items")
     )
-    sep = "␞"  # elements travel as one text; the form leaves the sign alone
+    # elements travel as one text; signs of ASCII, so that the quick check spares what needs no work,
+    # and digits, as a letter would mix its script with the element's
+    sep = "\x1e"
 
     def joined(items: Column) -> Column:
-        return F.array_join(F.transform(items, lambda x: F.coalesce(F.concat(F.lit("v"), F.replace(x, F.lit(sep), F.lit(sep + "x"))), F.lit("n"))), sep + "|")
+        return F.array_join(F.transform(items, lambda x: F.coalesce(F.concat(F.lit("1"), F.replace(x, F.lit(sep), F.lit(sep + "x"))), F.lit("0"))), sep + "|")
 
     one = joined(F.col("items"))
     return kept.select(
@@ -57,11 +85,14 @@ def same_reading_pairs(rows: DataFrame) -> DataFrame:
     """
     rows = materialize(rows.distinct(), "readings")
     values = rows.select("src_field", "key", "value").distinct()
-    several = values.groupBy("src_field", "key").count().where("count > 1").select("src_field", "key")
-    values = values.join(several, ["src_field", "key"])
-    left = values.select("src_field", "key", F.col("value").alias("va"))
-    right = values.select("src_field", "key", F.col("value").alias("vb"))
-    pairs = left.join(right, ["src_field", "key"]).where("va < vb").select("src_field", "va", "vb")
+    # a reading with very many spellings is spread: each spelling of a part meets all of them
+    counted = values.groupBy("src_field", "key").agg(F.count("*").alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / SPELLINGS).cast("int")
+    values = values.join(counted, ["src_field", "key"]).withColumn("parts", parts)
+    left = values.select("src_field", "key", F.col("value").alias("va"), F.pmod(F.xxhash64("value"), "parts").cast("int").alias("part"))
+    right = values.select("src_field", "key", F.col("value").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = left.join(right, ["src_field", "key", "part"]).where("va < vb").select("src_field", "va", "vb")
+    several = counted.select("src_field", "key")
 
     salt = F.array(*(F.lit(i) for i in range(SALTS)))
     owners = rows.join(several, ["src_field", "key"], "left_semi").select("src_field", "value", "id")
