@@ -19,12 +19,12 @@ FILTERS = 16
 DIM = 8
 
 
-def clean(text: str) -> str:
+def clean(text: str) -> bytes:
     """What the network sees of a text: lower case, one digit for all digits."""
-    return text.lower().translate(_DIGITS)
+    return text.lower().encode("utf-8", "replace").translate(_DIGITS)
 
 
-_DIGITS = {ord(d): "0" for d in "123456789"}
+_DIGITS = bytes.maketrans(b"123456789", b"0" * 9)
 
 
 def windows(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,8 +103,8 @@ class ByteNet:
         rng = self.rng
         of = {c: i for i, c in enumerate(self.labels)}
         plain = ["".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)) for t in texts]
-        data = [clean(t).encode() for t in texts]
-        bare = [clean(t).encode() for t in plain]
+        data = [clean(t) for t in texts]
+        bare = [clean(t) for t in plain]
         y_all = np.array([of[c] for c in labels])
         by_label = [np.flatnonzero(y_all == i) for i in range(len(self.labels))]
         by_label = [b for b in by_label if len(b)]

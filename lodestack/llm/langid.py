@@ -38,6 +38,7 @@ NO_LANGUAGE = "und xx n/a na unknown none null mul zxx mis"
 _CJK = "぀-ヿ㐀-鿿豈-﫿"
 _WORD = re.compile(rf"[{_CJK}]|(?:(?![{_CJK}])[^\W\d_])+(?:['’-](?:(?![{_CJK}])[^\W\d_])+)*")
 _ONE_CJK = re.compile(rf"[{_CJK}]")
+_PLAIN_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")  # the same where there are none
 _ITEM = re.compile(r"\s*(?:[-*•–—]|\d{1,3}[.)])\s+")
 _STOP = re.compile(r"[。！？]+[”』」）)\"]*|[.!?]+[\"”»)\]]*(?=\s|$|[" + _CJK + "])")
 _NEEDS_FORM = re.compile("[­͏​-‏ -  ⁠︀-️﻿Ａ-ｚ]|[A-Za-z][Ͱ-ԯ]|[Ͱ-ԯ][A-Za-z]")
@@ -54,6 +55,8 @@ def label_code(label: Column) -> Column:
 
 def _weight(piece: str) -> int:
     """Length in words; two Chinese characters or kana count as one."""
+    if piece.isascii() or not _ONE_CJK.search(piece):
+        return len(_PLAIN_WORD.findall(piece))
     words = len(_WORD.findall(piece))
     cjk = len(_ONE_CJK.findall(piece))
     return words - cjk + cjk // 2
@@ -119,7 +122,7 @@ def judge(net: ByteNet, texts: list[str | None], short: bool = False) -> list[li
             text, *spans[n] = canonical_spans(text)
         cuts = sentences(text) or ([(0, len(text), 0.0)] if short and _WORD.search(text) else [])
         where.append(cuts)
-        pieces += [clean(text[a:b].strip()).encode("utf-8", "replace") for a, b, _ in cuts]
+        pieces += [clean(text[a:b].strip()) for a, b, _ in cuts]
     if not pieces:
         return [[] for _ in texts]
     ends = np.cumsum([len(p) for p in pieces])
