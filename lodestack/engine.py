@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack import API_VERSION, __version__
 from lodestack.functions import paths as P
+from lodestack.logs import logger
 from lodestack.operators import refresh as R
 from lodestack.operators import search as S
 from lodestack.plans.query_language import QueryError, checked, limit_of
@@ -24,6 +28,28 @@ from lodestack.store import BUCKETS, Store
 
 # fixed values
 CACHE_SECONDS, CACHE_ENTRIES, CACHE_BYTES = 3.0, 8, 524_288
+PROGRESS_FILES, PROGRESS_MS = 200, 1000
+WATCH_SECONDS, WATCH_IDLE, WATCH_MOST = 4.0, 2, 1800.0
+SCOPES = ["full_disk_and_dirs", "dirs_only", "full_disk_only"]
+
+
+def progress_gate(total: int, batch: int, last_ms: int, now_ms: int) -> bool:
+    """Whether a batch is worth telling: it crossed a multiple of 200 files, or a second has passed."""
+    return total % PROGRESS_FILES < batch or now_ms - last_ms >= PROGRESS_MS
+
+
+def roots_of(scope: str, disk: list[str], dirs: list[str]) -> list[str]:
+    """The roots a scope stands for; folders a disk holds anyway are not walked twice."""
+    if scope not in SCOPES:
+        raise QueryError(f"no such scope: {scope}")
+    if scope == "full_disk_only":
+        return list(disk)
+    if scope == "dirs_only":
+        if not dirs:
+            raise QueryError("no folder has been chosen")
+        return list(dict.fromkeys(dirs))
+    inside = lambda d: any(d == r or d.startswith(r.rstrip("/") + "/") for r in disk)
+    return [*disk, *(d for d in dict.fromkeys(dirs) if not inside(d))]
 
 
 @dataclass
@@ -43,7 +69,10 @@ class ScanOptions:
         if isinstance(given, list):
             return cls([str(r) for r in given])
         mode = given.get("mode", "")
-        return cls([str(r) for r in given.get("roots", [])], "full" if mode == "full" else "incremental", given.get("prune_scope", "all"))
+        roots = [str(r) for r in given.get("roots", [])]
+        if "scope" in given:
+            roots = roots_of(given["scope"], roots, [str(d) for d in given.get("dirs", [])])
+        return cls(roots, "full" if mode == "full" else "incremental", given.get("prune_scope", "all"))
 
 
 @dataclass
@@ -79,10 +108,15 @@ class Engine:
     buckets: int = BUCKETS
     _stats: Stats = field(default_factory=Stats)
     _cache: dict = field(default_factory=dict)
-    _scanning: bool = False
     _closed: bool = False
 
     def __post_init__(self) -> None:
+        #: Held by whoever writes: a scan, a removal or a feed waits for the other.
+        self._gate = threading.RLock()
+        self._scan_began: float | None = None
+        self._scan_thread: threading.Thread | None = None
+        self._told_ms = 0
+        self._group = f"lodestack-scan-{uuid.uuid4().hex[:8]}"
         self.store = Store(self.spark, self.data_dir, self.buckets)
         self.parsers = dict(extraction.PARSERS)
 
@@ -108,21 +142,77 @@ class Engine:
         self._closed = True
 
     def _tell(self, what: str, **values) -> None:
+        logger.log(40 if what == "error" else 20, "%s %s", what, values)
         if self.listener:
             try:
                 self.listener(what, values)
             except Exception:
                 self._stats.host_cb_errors += 1
+                logger.exception("the listener failed")
 
     # --- scanning -----------------------------------------------------------
 
     @property
     def is_scanning(self) -> bool:
-        return self._scanning
+        return self._scan_began is not None
 
     def cancel(self) -> None:
         """Ends the jobs of a scan that another thread runs."""
-        self.spark.sparkContext.cancelJobGroup("lodestack-scan")
+        self.spark.sparkContext.cancelJobGroup(self._group)
+
+    def start_scan(self, options: ScanOptions | str) -> threading.Thread:
+        """``scan`` in a thread of its own; the listener hears ``started``, ``progress`` and ``finished`` or ``error``.
+
+        A watchdog looks after it: a scan that has gone without having said so is
+        reported as an error, one that takes more than half an hour is cancelled.
+        Options that can't be run are refused at once.
+        """
+        options = self._begin(options)
+
+        def run() -> None:
+            try:
+                self._scan(options)
+            except Exception:
+                pass  # told to the listener
+
+        self._scan_thread = InheritableThread(target=run, name=self._group, daemon=True)
+        self._scan_thread.start()
+        threading.Thread(target=self._watch, args=(self._scan_thread, self._scan_began), daemon=True).start()
+        return self._scan_thread
+
+    def _watch(self, thread: threading.Thread, began: float, every: float = WATCH_SECONDS, most: float = WATCH_MOST) -> None:
+        idle = 0
+        while self._scan_began == began:
+            thread.join(every)
+            if not thread.is_alive() and self._scan_began == began:
+                idle += 1
+                if idle >= WATCH_IDLE:
+                    self._scan_began = None
+                    self._tell("error", message="the scan ended without saying so")
+            elif time.time() - began > most:
+                self.cancel()
+                most = float("inf")
+            elif self._scan_began == began:
+                self._progress_of_tasks()
+
+    def _progress_of_tasks(self) -> None:
+        """A sign of life: tasks done and to do of the stages that run."""
+        tracker = self.spark.sparkContext.statusTracker()
+        done = total = 0
+        for job in tracker.getJobIdsForGroup(self._group):
+            info = tracker.getJobInfo(job)
+            for stage in info.stageIds if info else []:
+                s = tracker.getStageInfo(stage)
+                if s:
+                    done, total = done + s.numCompletedTasks, total + s.numTasks
+        if total:
+            self._tell("progress", tasks_done=done, tasks=total)
+
+    def _count(self, total: int, batch: int, **values) -> None:
+        now = int(time.time() * 1000)
+        if progress_gate(total, batch, self._told_ms, now):
+            self._told_ms = now
+            self._tell("progress", **values)
 
     def register_parser(self, ext: str, parser: Callable[[bytes], str | None]) -> None:
         """A parser of this engine; others keep theirs."""
@@ -135,28 +225,40 @@ class Engine:
         changed and what lacks its text, and drops what is gone.  External rows
         stay.  Without any change nothing is written.
         """
+        return self._scan(self._begin(options))
+
+    def _begin(self, options: ScanOptions | str) -> ScanOptions:
         self._open()
         options = ScanOptions.parse(options) if isinstance(options, str) else options
         if not options.roots:
             raise QueryError("there are no roots to scan")
-        if self._scanning:
-            raise RuntimeError("a scan is running")
-        self._scanning = True
-        began = time.time()
-        stats = Stats(first_build=self.store.version == 0)
-        self.spark.sparkContext.setJobGroup("lodestack-scan", "scan", interruptOnCancel=True)
+        with self._gate:
+            if self.is_scanning:
+                raise RuntimeError("a scan is running")
+            self._scan_began = time.time()
+        return options
+
+    def _scan(self, options: ScanOptions) -> Stats:
+        began, stats, failed = self._scan_began, Stats(), None
+        self.spark.sparkContext.setJobGroup(self._group, "scan", interruptOnCancel=True)
         try:
-            self._refresh(options, stats)
-        except Exception:
-            stats.cancelled = True
+            with self._gate:
+                self._tell("started", roots=options.roots, mode=options.mode)
+                stats.first_build = self.store.version == 0
+                self._refresh(options, stats)
+        except Exception as e:
+            stats.cancelled, failed = True, e
             raise
         finally:
-            self._scanning = False
             self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
             stats.duration_ms = int((time.time() - began) * 1000)
             stats.finished_at = datetime.now(timezone.utc).isoformat(timespec="seconds")
+            stats.host_cb_errors += self._stats.host_cb_errors
             self._stats = stats
             self._cache.clear()
+            self._scan_began = None
+            if failed is not None:
+                self._tell("error", message=str(failed)[:500])
         self._tell("finished", **vars(stats))
         return stats
 
@@ -179,9 +281,11 @@ class Engine:
         stats.removed = counts.get("removed", 0)
         queue = materialize(R.parse_queue(diff, content.limit(0) if full else content), "queue")
         stats.docs_found = queue.count()
-        self._tell("progress", files=seen.count(), docs=stats.docs_found)
+        found = seen.count()
+        self._count(found, found, files=found, docs=stats.docs_found)
         texts = materialize(S.stored_content(extraction.texts_at(queue, self.parsers)), "texts")
         stats.docs_indexed = texts.count()
+        self._count(stats.docs_indexed, stats.docs_indexed, files=found, docs=stats.docs_found, docs_indexed=stats.docs_indexed)
         folders_changed = full or bool(seen.where("kind = 'folder'").select("path").exceptAll(base.where("kind = 'folder'").select("path")).limit(1).count())
         if not full and not stats.first_build and not (stats.added or stats.updated or stats.removed or stats.docs_indexed or folders_changed):
             stats.files = seen.where("kind = 'file'").count()
@@ -202,7 +306,9 @@ class Engine:
         stats.indexed = self.content().count()
 
     def stats(self) -> DataFrame:
-        """One row; ``finished_at`` is null until a scan has finished."""
+        """One row; ``finished_at`` is null until a scan has finished, the duration of a running one is that so far."""
+        if self._scan_began is not None:
+            self._stats.duration_ms = int((time.time() - self._scan_began) * 1000)
         types = {"int": "bigint", "bool": "boolean"}
         ddl = ", ".join(f"{n} {types.get(f.type, 'string')}" for n, f in Stats.__dataclass_fields__.items())
         return self.spark.createDataFrame([tuple(vars(self._stats).values())], ddl)
@@ -245,7 +351,8 @@ class Engine:
         catalog, content = self.catalog(), self.content()
         n = R.removal_count(asked, catalog, content).first()[0]
         if n:
-            self.store.change({}, asked.where("path is not null").select("path").distinct())
+            with self._gate:
+                self.store.change({}, asked.where("path is not null").select("path").distinct())
             self._cache.clear()
         return n
 
@@ -257,7 +364,8 @@ class Engine:
     def add_document_text(self, path: str, text: str) -> None:
         if not path or not text.strip():
             raise QueryError("a path and a text are needed")
-        self.store.change({"content": S.stored_content(self.spark.createDataFrame([(path, text)], "path string, text string"))})
+        with self._gate:
+            self.store.change({"content": S.stored_content(self.spark.createDataFrame([(path, text)], "path string, text string"))})
         self._cache.clear()
 
     def ingest(self, entries: str | DataFrame, mode: str = "replace") -> Stats:
@@ -267,10 +375,11 @@ class Engine:
         rows = materialize(rows, "entries")
         catalog, texts = I.catalog_rows(rows), I.content_rows(rows)
         old = self.catalog()
-        if mode == "merge":
-            self.store.change({"catalog": materialize(catalog, "catalog"), "content": materialize(texts, "texts")})
-        else:
-            self.store.write({"catalog": catalog.unionByName(old.where("origin = 'external'")), "content": texts})
+        with self._gate:
+            if mode == "merge":
+                self.store.change({"catalog": materialize(catalog, "catalog"), "content": materialize(texts, "texts")})
+            else:
+                self.store.write({"catalog": catalog.unionByName(old.where("origin = 'external'")), "content": texts})
         now = self.catalog()
         self._stats = Stats(
             files=now.where("origin = 'main' and kind = 'file'").count(),
@@ -286,16 +395,31 @@ class Engine:
 
     def replace_external(self, feed: str | DataFrame) -> int:
         """The external entries anew; rows outside their root are dropped.  Refused during a scan."""
-        if self._scanning:
+        if self.is_scanning:
             raise RuntimeError("a scan is running")
         rows = I.external_catalog(I.feed_from_text(self.spark, feed) if isinstance(feed, str) else feed)
         rows = materialize(rows, "external")
-        self.store.write({"catalog": self.catalog().where("origin <> 'external'").unionByName(rows.select(*self.catalog().columns))})
+        with self._gate:
+            self.store.write({"catalog": self.catalog().where("origin <> 'external'").unionByName(rows.select(*self.catalog().columns))})
         self._cache.clear()
         return rows.count()
 
+    def size_stats(self) -> DataFrame:
+        """One row: answers kept in memory and their bytes, files of the data folder and their bytes."""
+        self._open()
+        m = self.store.manifests
+        files = size = 0
+        at = m._path(self.store.root)
+        if m._fs.exists(at):
+            found = m._fs.listFiles(at, True)
+            while found.hasNext():
+                files, size = files + 1, size + found.next().getLen()
+        kept = [c.text for c in self._cache.values()]
+        return self.spark.createDataFrame([(len(kept), sum(len(t.encode()) for t in kept), files, size)], "answers bigint, answer_bytes bigint, files bigint, file_bytes bigint")
+
     def reset(self) -> None:
-        self.store.write({"catalog": self.catalog().limit(0), "content": self.content().limit(0)})
+        with self._gate:
+            self.store.write({"catalog": self.catalog().limit(0), "content": self.content().limit(0)})
         self._cache.clear()
 
     def extract_doc(self, name: str, data: bytes) -> str:

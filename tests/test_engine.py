@@ -3,10 +3,12 @@
 import io
 import json
 import os
+import threading
 import zipfile
 
 import pytest
-from lodestack.engine import Engine, ScanOptions
+from lodestack.engine import Engine, ScanOptions, progress_gate, roots_of
+from lodestack.logs import Ring, ring
 from lodestack.plans.query_language import QueryError, parse_query
 
 
@@ -82,6 +84,74 @@ def test_changes(spark, tmp_path):
     assert e.catalog().count() == 0
 
 
+def test_scan_in_the_background(spark, tree, tmp_path):
+    heard = []
+    e = Engine(spark, str(tmp_path / "data"), listener=lambda what, values: heard.append((what, values)))
+    thread = e.start_scan(json.dumps([str(tree)]))
+    with pytest.raises(RuntimeError):
+        e.scan(json.dumps([str(tree)]))
+    with pytest.raises(RuntimeError):
+        e.replace_external('{"root": "", "dirs": [], "files": []}')
+    e.remove_paths(["/nowhere"])  # waits for its turn, or finds nothing
+    thread.join(120)
+    assert not e.is_scanning and [w for w, _ in heard if w != "progress"] == ["started", "finished"]
+    assert heard[-1][1]["files"] == 3 and any(w == "progress" and v.get("files") for w, v in heard)
+    assert any("finished" in r for r in ring.records)
+    row = e.size_stats().first()
+    assert row.files > 0 and row.file_bytes > 0 and row.answers == 0
+    e.search_json("report")
+    assert e.size_stats().first().answers == 1
+    with pytest.raises(QueryError):
+        e.start_scan("[]")
+
+
+def test_scan_that_fails(spark, tree, tmp_path, monkeypatch):
+    heard = []
+    e = Engine(spark, str(tmp_path / "data"), listener=lambda what, values: heard.append(what) or 1 / 0)
+    monkeypatch.setattr(Engine, "_refresh", lambda *a: (_ for _ in ()).throw(OSError("disk")))
+    e.start_scan(json.dumps([str(tree)])).join(60)
+    assert heard == ["started", "error"] and not e.is_scanning
+    assert e.stats().first().cancelled and e.stats().first().host_cb_errors == 2
+    # a scan that dies without a word is noticed
+    e._scan_began = 1.0
+    heard.clear()
+    dead = threading.Thread(target=int)
+    dead.start()
+    dead.join()
+    e._watch(dead, 1.0, every=0.01)
+    assert heard == ["error"] and not e.is_scanning
+
+
+def test_progress_gate():
+    assert progress_gate(200, 1, 0, 0) and progress_gate(401, 5, 0, 0) and progress_gate(7, 1, 0, 1000)
+    assert not progress_gate(199, 50, 0, 999) and not progress_gate(250, 50, 0, 0)
+
+
+def test_scopes():
+    disk, dirs = ["/storage/0"], ["/storage/0/a", "/sd/b", "/sd/b"]
+    assert roots_of("full_disk_only", disk, dirs) == disk
+    assert roots_of("dirs_only", disk, dirs) == ["/storage/0/a", "/sd/b"]
+    assert roots_of("full_disk_and_dirs", disk, dirs) == ["/storage/0", "/sd/b"]
+    assert ScanOptions.parse('{"roots": ["/storage/0"], "dirs": ["/sd/b"], "scope": "full_disk_and_dirs"}').roots == ["/storage/0", "/sd/b"]
+    for bad in (("dirs_only", disk, []), ("other", disk, dirs)):
+        with pytest.raises(QueryError):
+            roots_of(*bad)
+
+
+def test_log_ring(tmp_path):
+    import logging
+
+    own = Ring(most=3, level=logging.WARNING)
+    log = logging.getLogger("lodestack.test")
+    log.addHandler(own)
+    for k in range(5):
+        log.warning("w%d", k)
+        log.info("i%d", k)
+    log.removeHandler(own)
+    assert own.export(str(tmp_path / "log.txt")) == 3
+    assert [line.split()[-1] for line in (tmp_path / "log.txt").read_text().splitlines()] == ["w2", "w3", "w4"]
+
+
 def test_errors(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "data"))
     for bad in ("", "   ", "type:doc", "dir:x"):
