@@ -77,12 +77,10 @@ def ui_category(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prune_dirs(spark: SparkSession, d: str) -> DataFrame:
+    """Every delivered path, and whether a scan of its root would list it."""
     rows = table(spark, d, "catalog_snapshot").where("path is not null and scan_root is not null").select("path", "scan_root", (F.col("list_name") == "dirs").alias("folder")).distinct()
-    # some folders under names that a scan leaves out, so that both answers occur
-    at = F.length("path")
-    odd = F.when(at % 7 == 0, F.lit("/.cache")).when(at % 11 == 0, F.lit("/Android/data")).when(at % 13 == 0, F.lit("/lost+found")).otherwise(F.lit(""))
-    rows = rows.withColumn("path", F.concat("scan_root", odd, F.substring("path", F.length("scan_root") + 1, F.length("path"))))
-    return rows.where(P.is_kept(F.col("path"), F.col("scan_root"), F.coalesce("folder", F.lit(False)))).select("path").distinct()
+    kept = P.is_kept(F.col("path"), F.col("scan_root"), F.coalesce("folder", F.lit(False)))
+    return rows.groupBy("path").agg(F.max(kept.cast("int")).cast("bigint").alias("kept"))
 
 
 def parse_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -236,8 +234,8 @@ def remove_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def external_feed(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "name_record").select(F.when(F.col("name_id") % 10 == 3, F.concat("path", F.lit("/../x"))).otherwise(F.col("path")).alias("path"), "kind").distinct()
-    return R.external_rows(rows, F.lit("/storage/card0/"))
+    """All names as a feed of one card: those that are valid below it."""
+    return R.external_rows(table(spark, d, "name_record").select("path", "kind").distinct(), F.lit("/storage/card0/"))
 
 
 def display_format(spark: SparkSession, d: str) -> DataFrame:

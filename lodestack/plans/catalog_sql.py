@@ -129,8 +129,6 @@ _ALL = """
                  when n.size = o.size and n.mtime_ms = o.mtime_ms then 'unchanged' else 'updated' end as status
         from n full join o using (snap_id, list_name, path))"""
 
-_ODD = "case when length(path) % 7 = 0 then '/.cache' when length(path) % 11 = 0 then '/Android/data' when length(path) % 13 = 0 then '/lost+found' else '' end"
-
 SQL = {
     "name_search": f"with {_CAT} select path, name, size, mtime_ms, kind, origin from cat where contains(name_lower, 'report')",
     "name_rank": f"""with {_CAT} select row_number() over (order by strlen(name), mtime_ms desc, path) as pos, path, strlen(name) as name_bytes
@@ -144,13 +142,12 @@ SQL = {
     "dir_filter": f"with {_CAT} select path, {_PARENT} as parent from cat where contains(lower({_PARENT}), 'emulated') and contains(lower({_PARENT}), 're')",
     "ext_type_stats": f"with {_CAT} select {_TYPE} as ftype, count(*) as files, sum(size)::bigint as bytes from cat where kind <> 'folder' group by 1",
     "ui_category": f"with {_CAT} select {_CATEGORY} as category, kind, count(*) as n from cat group by 1, 2",
-    "prune_dirs": f"""with r as (select distinct path, scan_root, list_name = 'dirs' as folder from catalog_snapshot where path is not null and scan_root is not null),
-        p as (select scan_root || {_ODD} || substr(path, length(scan_root) + 1) as path, scan_root, coalesce(folder, false) as folder from r),
-        q as (select *, substr(path, length(scan_root) + 1) || case when folder then '/' else '' end as inside from p)
-        select distinct path from q
-        where path = scan_root or not (regexp_matches(inside, '(^|/)([.][^/]*|LOST[.]DIR|lost[+]found|proc|sys|dev)/|(^|/)Android/(data|obb)/')
-            or regexp_matches(scan_root, '(^|/)Android$') and regexp_matches(inside, '^/?(data|obb)/')
-            or not folder and {_NAME} like '.%')""",
+    "prune_dirs": f"""with r as (select distinct path, regexp_replace(scan_root, '/+$', '') as root, coalesce(list_name = 'dirs', false) as folder
+            from catalog_snapshot where path is not null and scan_root is not null),
+        q as (select *, substr(path, length(root) + 1) || case when folder then '/' else '' end as inside from r)
+        select path, max((path = root or not (regexp_matches(inside, '(^|/)([.][^/]*|LOST[.]DIR|lost[+]found|proc|sys|dev)/|(^|/)Android/(data|obb)/')
+            or regexp_matches(root, '(^|/)Android$') and regexp_matches(inside, '^/?(data|obb)/')
+            or not folder and {_NAME} like '.%'))::int)::bigint as kept from q group by path""",
     "parse_gate": f"select path, {_PARSER} as parser from (select path, arg_max({{'s': size}}, (feed_id, size)).s as size from scan_feed where path is not null group by path)",
     "normalize_text": f"""select row_id, {_stored("text")} as text, (not regexp_matches({_stored("text")}, '[^{_SPACE[1:]}'))::bigint as blank from content_store""",
     "truncate_bytes": """select row_id, case when strlen(text) <= 64 then text
@@ -198,7 +195,7 @@ SQL = {
     "remove_paths": f"""with {_CAT}, {_CON} select count(distinct path) as removed from scan_feed
         where path in (select path from cat) or path in (select path from con)""",
     "remove_tree": f"with {_CAT} select path, kind from cat where path <> '/storage/card0' and not starts_with(path, '/storage/card0/')",
-    "external_feed": f"""with f as (select distinct case when name_id % 10 = 3 then path || '/../x' else path end as path, kind from name_record where path is not null)
+    "external_feed": f"""with f as (select distinct path, kind from name_record where path is not null)
         select path, {_NAME} as name, 0::bigint as size, 0::bigint as mtime_ms, kind from f
         where (path = '/storage/card0' or starts_with(path, '/storage/card0/')) and not regexp_matches(path, '[\\r\\n]') and {_NAME} <> ''
             and not regexp_matches(path, '(^|/)[.][.]?(/|$)')""",
