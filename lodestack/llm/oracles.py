@@ -73,6 +73,23 @@ def _shingles() -> str:
         union select a.row_id, b.row_id from t a join t b on a.w = b.w and a.row_id < b.row_id and len(a.w) > 0)"""
 
 
+def _groups() -> str:
+    """Classes of equal token sets, links between classes, and their connected components."""
+    return f"""
+    t as (select row_id, any_value({tokens("text")}) as w from content_store where row_id is not null and text is not null group by row_id),
+    s as (select distinct row_id, hash(w[i:i+3]) as gram from (select row_id, w, unnest(range(1, len(w) - 2)) as i from t where len(w) >= 4)),
+    keys as (select row_id, 's' || hash(list(gram order by gram)) as key from s group by row_id union all select row_id, 't' || hash(w) from t where len(w) between 1 and 3),
+    members as (select row_id, min(row_id) over (partition by key) as class_id from keys),
+    r as (select s.* from s join members using (row_id) where row_id = class_id),
+    n as (select row_id, count(*) as n from r group by row_id),
+    common as (select a.row_id as a, b.row_id as b, count(*) as k from r a join r b on a.gram = b.gram and a.row_id < b.row_id group by all),
+    links as (select a, b from common join n x on x.row_id = a join n y on y.row_id = b where k >= 0.6 * (x.n + y.n - k)),
+    both_ways as (select a, b from links union all select b, a from links),
+    reach as (select distinct class_id as node, class_id as seen from members union select reach.node, both_ways.b from reach join both_ways on reach.seen = both_ways.a),
+    labels as (select node, min(seen) as group_id from reach group by node),
+    degrees as (select a as class_id, count(*) as n_links from both_ways group by a)"""
+
+
 def _runs() -> str:
     return f"""
     p as (select item_id, {tokens("passage")} as w, case when lang in ('zh', 'ja') then 40 else 20 end as need from eval_item where item_id is not null and passage is not null),
@@ -85,6 +102,7 @@ SQL = {
     "p3_found": f"""{_p3()} select distinct a.src_field, a.id as id_a, b.id as id_b from r a join r b on a.src_field = b.src_field and a.key = b.key and a.value <> b.value and a.id < b.id""",
     "p3_groups": f"{_p3()}{_GROUPS}",
     "p4_found": f"with {_shingles()} select row_a, row_b from pairs",
+    "p4_groups": f"with recursive {_groups()} select row_id, class_id, group_id, coalesce(n_links, 0) as n_links from members join labels on node = class_id left join degrees using (class_id)",
     "p6_invariants": """select spec_id, (select count(distinct doc_id) from documents where length(text) > 0) as documents, 0::bigint as misplaced,
         0::bigint as above_capacity, 0::bigint as split_needlessly from pack_spec""",
     "p7_found": f"with {_runs()} select distinct doc_id, item_id from pg join dg using (need, gram)",
