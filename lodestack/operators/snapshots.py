@@ -186,7 +186,7 @@ class SnapshotIndex:
     two new pairs; the changes of the pair it parts are kept but no longer named.
     A delivery is known by its snap_id: one that is delivered again counts as it
     was first seen.  All of an update counts with its manifest, or nothing: rows
-    carry the number of their update, and those of a dead one are never asked for.
+    carry the number of their attempt, and those of a dead one are never asked for.
     """
 
     _ROWS = "ord int, list_name string, path string, size bigint, mtime_ms bigint, top int, part int"
@@ -220,11 +220,11 @@ class SnapshotIndex:
             self.spark.sql(f"drop table if exists {name}")
         self._names.clear()
 
-    def update(self, rows: DataFrame, heads: DataFrame, version: int = 4) -> None:
+    def update(self, rows: DataFrame, heads: DataFrame, version: int = 4, fail_before_commit: bool = False) -> None:
         number, state = self.manifests.latest(writing=True)
         state = state or {"bits": None, "buckets": None, "snaps": {}, "pairs": {}, "order": []}
         order = [r.snap_id for r in delivery_order(heads, version).orderBy("ord").collect()]  # one row a delivery
-        snaps, pairs, part = dict(state["snaps"]), dict(state["pairs"]), number + 1
+        snaps, pairs, part = dict(state["snaps"]), dict(state["pairs"]), uuid.uuid4().int >> 97  # an attempt's own, so what a dead one left is never asked for
         fresh = [s for s in order if str(s) not in snaps]
         wanted = [(a, b) for a, b in zip(order, order[1:]) if f"{a}>{b}" not in pairs]
         bits, buckets = state["bits"], state["buckets"]
@@ -251,7 +251,9 @@ class SnapshotIndex:
                 found = differing_leaves(read("leaves", self._LEAVES), taking)
                 changed_rows(read("rows", self._ROWS), found, bits, taking).write.option("compression", "zstd").parquet(f"{self.root}/{changes}")
                 pairs |= {f"{a}>{b}": changes for a, b in wanted}
-        self.manifests.publish(part, {"bits": bits, "buckets": buckets, "snaps": snaps, "pairs": pairs, "order": order})
+        if fail_before_commit:
+            raise RuntimeError("stopped before the commit")
+        self.manifests.publish(number + 1, {"bits": bits, "buckets": buckets, "snaps": snaps, "pairs": pairs, "order": order})
 
     def changes(self) -> DataFrame:
         """``(snap_id, list_name, path, change_kind)`` between consecutive deliveries as they stand."""

@@ -83,6 +83,10 @@ def test_kept_snapshots(spark, tmp_path):
     index = SnapshotIndex(spark, f"file://{tmp_path}/index")
     for k in (1, 2, 3, 3, 4):
         given = [r for r in rows if r[0] <= k]
+        if k == 2:  # an attempt that dies after writing its rows
+            with pytest.raises(RuntimeError):
+                index.update(spark.createDataFrame(given, ROWS), spark.createDataFrame(heads[:k], HEADS), fail_before_commit=True)
+            index = SnapshotIndex(spark, f"file://{tmp_path}/index")  # another session
         index.update(spark.createDataFrame(given, ROWS), spark.createDataFrame(heads[:k], HEADS))
         assert set(map(tuple, index.changes().collect())) == brute_changes(given, heads[:k])
     assert len(index.manifests.numbers()) == 4
