@@ -134,6 +134,26 @@ class ByteNet:
         self._compile()
         return self
 
+    def save(self, path: str, digest: bytes) -> None:
+        """Keep what was learned, with the digest of what it was learned from."""
+        with open(path, "wb") as f:
+            np.savez(f, *self._params(), labels=np.array(self.labels), digest=np.frombuffer(digest, np.uint8))
+
+    @classmethod
+    def load(cls, path: str, digest: bytes) -> "ByteNet | None":
+        """What was kept, or None: no such file, or learned from other rows."""
+        try:
+            with np.load(path) as kept:
+                if kept["digest"].tobytes() != digest:
+                    return None
+                net = cls([str(x) for x in kept["labels"]])
+                for k, p in enumerate(net._params()):
+                    p[...] = kept[f"arr_{k}"]
+        except OSError:
+            return None
+        net._compile()
+        return net
+
     # --- application --------------------------------------------------------
 
     def _compile(self) -> None:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -177,14 +178,27 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(samples: DataFrame, rows: int = TRAIN_ROWS) -> ByteNet:
-    """Train on labelled rows (``sample_id, lang, text``), at most ``rows`` of them."""
+_fitted: dict[bytes, ByteNet] = {}
+
+
+def train(samples: DataFrame, rows: int = TRAIN_ROWS, path: str | None = None) -> ByteNet:
+    """Train on labelled rows (``sample_id, lang, text``), at most ``rows`` of them.
+
+    The same rows give the same network: it is fitted once a session, and with a
+    ``path`` kept there (a file of the driver) for others.
+    """
     kept = samples.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("sample_id", label_code(F.col("lang")).alias("lang"), "text")
     kept = kept.where("lang is not null").orderBy(F.xxhash64("sample_id"), "sample_id", "text").limit(rows)
     got = [(r.lang, r.text) for r in kept.collect()]  # bounded by ``rows``
     if not got:
         raise ValueError("there are no labelled samples to train on")
-    return ByteNet(sorted({g[0] for g in got})).fit([g[1] for g in got], [g[0] for g in got])
+    digest = blake2b("\0".join(x for g in got for x in g).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    if digest not in _fitted:
+        net = ByteNet.load(path, digest) if path else None
+        _fitted[digest] = net or ByteNet(sorted({g[0] for g in got})).fit([g[1] for g in got], [g[0] for g in got])
+        if path and net is None:
+            _fitted[digest].save(path, digest)
+    return _fitted[digest]
 
 
 def _slices(texts: list, most: int = 400_000) -> Iterator[tuple[int, int]]:

@@ -85,6 +85,20 @@ def test_segments_cut_the_text_as_it_is(spark):
     assert not {k for k in spoken if k[0] in (3, 4, 5)}
 
 
+def test_network_is_kept(spark, tmp_path):
+    samples = duckdb.sql(f"select sample_id, lang, text from '{SF}/lang_sample.parquet' order by sample_id limit 60").fetchall()
+    df = spark.createDataFrame(samples, "sample_id int, lang string, text string")
+    at = str(tmp_path / "net.npz")
+    langid._fitted.clear()
+    first = langid.train(df, path=at)
+    langid._fitted.clear()
+    again = langid.train(df, path=at)
+    assert again is not first and again.labels == first.labels and all((a == b).all() for a, b in zip(first._params(), again._params()))
+    x = np.frombuffer(b"ein kleiner Satz zum Vergleichen".ljust(64, b"\0"), np.uint8)[None]
+    assert np.array_equal(first.log_probs(x), again.log_probs(x))
+    assert langid.ByteNet.load(at, b"other") is None and langid.ByteNet.load(str(tmp_path / "none"), b"") is None
+
+
 def test_edited_copies_are_scored(spark):
     """Copies of passages with every eighth to fifteenth token changed: found by a seed, and scored by how much is left."""
     rng = random.Random(5)
