@@ -26,7 +26,8 @@ def levelled(column: str) -> str:
             out = f"replace({out}, {_quoted(chr(cp))}, {_quoted(to)})"
     # translate drops characters beyond the length of the second list
     out = f"translate({out}, {_quoted(''.join(map(chr, [*one, *none])))}, {_quoted(''.join(one.values()))})"
-    return f"translate(nfc_normalize({out}), {_quoted(''.join(f.twins))}, {_quoted(''.join(f.twins.values()))})"
+    # a borrowed letter may take up the accent behind it once it is put right
+    return f"nfc_normalize(translate(nfc_normalize({out}), {_quoted(''.join(f.twins))}, {_quoted(''.join(f.twins.values()))}))"
 
 
 def _ranges() -> str:
