@@ -322,7 +322,7 @@ class Engine:
         catalog = self.catalog()
         b = S.branches(catalog, self.content(), f, filter_external, self.store.read("grams"))
         hits = S.merged(b, catalog, limit_of(limit), S.content_terms(f.joined))
-        return hits.orderBy("pos").select("pos", *S.HIT), S.totals(b)
+        return hits.orderBy("pos").select("pos", *S.HIT), S.totals(b, limit_of(limit))
 
     def search_json(self, query: str, limit: int = 0) -> str:
         """The answer as JSON; the same question within three seconds is answered from memory."""
@@ -333,7 +333,7 @@ class Engine:
             return known.text
         hits, totals = self.search(query, limit)
         rows = [r.asDict() for r in hits.collect()]  # at most a thousand
-        answer = {"query": query, "elapsed_ms": int((time.monotonic() - now) * 1000), "total": len(rows), **totals.first().asDict()}
+        answer = {"query": query, "elapsed_ms": int((time.monotonic() - now) * 1000), **totals.first().asDict(), "total": len(rows)}
         answer["hits"] = [{("mtime" if k == "mtime_ms" else k): v for k, v in r.items() if k != "pos"} for r in rows]
         text = json.dumps(answer, ensure_ascii=False)
         if len(text.encode()) <= CACHE_BYTES:

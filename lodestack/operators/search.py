@@ -159,12 +159,13 @@ def branches(catalog: DataFrame, content: DataFrame, f: QueryFilter, filter_exte
     }
 
 
-def totals(b: dict[str, DataFrame]) -> DataFrame:
-    """One row: how many each retrieval has, exactly, after filtering."""
+def totals(b: dict[str, DataFrame], limit: int) -> DataFrame:
+    """One row: how many each retrieval has, exactly, after filtering, and how many hits the list shows (``total``)."""
     counted = b["named"].select("source", "kind").unionByName(b["content"].select(F.lit("content").alias("source"), "kind"))
     of = lambda *n: F.count_if(F.col("source").isin(*n))
     file, folder = F.col("kind") != "folder", F.col("kind") == "folder"
     return counted.agg(
+        F.least(F.count("*"), F.lit(limit)).alias("total"),
         F.count("*").alias("total_matches"),
         F.count_if(F.col("source").isin("names") | (F.col("source") == "external") & file).alias("total_files"),
         F.count_if(F.col("source").isin("folders") | (F.col("source") == "external") & folder).alias("total_dirs"),

@@ -94,7 +94,7 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def truncate_bytes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "content_store").select("row_id", X.truncate_bytes(F.col("text"), 64).alias("cut"))
+    return table(spark, d, "content_store").select("row_id", X.truncate_bytes(F.col("text"), X.MAX_TEXT_BYTES).alias("cut"))
 
 
 def content_search(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +143,7 @@ def _branches(spark: SparkSession, d: str) -> tuple[dict, DataFrame, list[str]]:
 
 
 def search_totals(spark: SparkSession, d: str) -> DataFrame:
-    return S.totals(_branches(spark, d)[0])
+    return S.totals(_branches(spark, d)[0], limit_of(LIMIT))
 
 
 def search_merged(spark: SparkSession, d: str) -> DataFrame:

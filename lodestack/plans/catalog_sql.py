@@ -150,8 +150,8 @@ SQL = {
             or not folder and {_NAME} like '.%'))::int)::bigint as kept from q group by path""",
     "parse_gate": f"select path, {_PARSER} as parser from (select path, arg_max({{'s': size}}, (feed_id, size)).s as size from scan_feed where path is not null group by path)",
     "normalize_text": f"""select row_id, {_stored("text")} as text, (not regexp_matches({_stored("text")}, '[^{_SPACE[1:]}'))::bigint as blank from content_store""",
-    "truncate_bytes": """select row_id, case when strlen(text) <= 64 then text
-        else left(text, list_max(list_filter(range(0, 65), lambda k: strlen(left(text, k)) <= 64))) end as cut from content_store""",
+    "truncate_bytes": f"""select row_id, case when strlen(text) <= {X.MAX_TEXT_BYTES} then text
+        else left(text, list_max(list_filter(range({X.MAX_TEXT_BYTES // 4}, {X.MAX_TEXT_BYTES + 1}), lambda k: strlen(left(text, k)) <= {X.MAX_TEXT_BYTES}))) end as cut from content_store""",
     "content_search": f"with {_CON} select path, length(text) as chars from con where {_has(_TERMS)}",
     "content_rank": f"""with {_CON}, s as (select path, ({_score(_TERMS)})::bigint as score from con where {_has(_TERMS)})
         select row_number() over (order by score desc, path) as pos, path, score from s qualify pos <= {C.LIMIT}""",
@@ -166,7 +166,7 @@ SQL = {
         from con where {" and ".join(f"contains(text_lower, '{g}')" for t in _TERMS for g in X.term_grams(t))}""",
     "word_tf": f"""with {_CON}, w as (select path, unnest(regexp_extract_all(text_lower, '[a-z0-9]+|[^\\x00-\\x7F]+')) as term from con)
         select term, path, count(*) as tf from w group by term, path""",
-    "search_totals": f"""with {_RANKED} select count(*) as total_matches,
+    "search_totals": f"""with {_RANKED} select least(count(*), {C.LIMIT}) as total, count(*) as total_matches,
         count(*) filter (source = 'names' or source = 'external' and kind <> 'folder') as total_files,
         count(*) filter (source = 'folders' or source = 'external' and kind = 'folder') as total_dirs,
         count(*) filter (source = 'content') as total_content from ranked""",

@@ -7,7 +7,7 @@ import random
 import pytest
 from lodestack.manifests import Conflict
 from lodestack.operators import intervals as iv
-from lodestack.operators.increments import Ledger, Run, new_or_changed, process_run
+from lodestack.operators.increments import Ledger, Run, _unprocessed, new_or_changed, process_run
 from lodestack.operators.snapshots import SnapshotIndex, _buckets_meet, bits_for, changed_rows, differing_leaves, leaf_of, snapshot_changes
 from lodestack.store import Store
 from lodestack.streaming import feed as fd
@@ -155,6 +155,26 @@ def test_runs(spark, tmp_path):
     assert new_or_changed(feed, spark.createDataFrame([], RUNS)).count() == 0
 
 
+def test_processed_ranges_are_not_read_again(spark, tmp_path):
+    """What earlier runs took is left out by the scan itself; the state is folded when its changes outgrow it."""
+    hour = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    at = f"file://{tmp_path}/feed"
+    rows = [(i, 0, f"/p{i % 500}", i, 7, hour(i / 1000), 0) for i in range(20000)]
+    spark.createDataFrame(rows, FEED).repartitionByRange(20, "feed_id").write.parquet(at)
+    feed, ledger = spark.read.parquet(at), Ledger(spark, f"file://{tmp_path}/ledger")
+    for no in range(1, 6):
+        process_run(ledger, feed, Run(no, str(hour(no * 4))))
+        assert [(r.lo, r.hi) for r in iv.widest(ledger.processed(ledger.state()), 4)] == [(0, min(no * 4000, 19999))]
+    state = ledger.state()
+    assert state["runs"] == [1, 2, 3, 4, 5] and ledger.in_force(state).groupBy("path").count().count() == 500
+    assert sum(state["rows"]) <= 1500 and len(state["changes"]) <= 2
+    left = feed.where(_unprocessed(F.col("feed_id"), ledger.processed(state)))
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(feed_id,19999)" in plan
+    assert left.count() == 0
+    assert ledger.output().count() == 5 * 500
+
+
 def test_change_feed(spark, tmp_path):
     folder, store = str(tmp_path / "in"), Store(spark, str(tmp_path / "store"))
     first = [(1, "/a/x", 1, 1, "file", False), (2, "/a/y", None, None, None, None), (3, "/a/x", 2, 2, "file", False), (4, "/a/", 0, 0, "file", False)]

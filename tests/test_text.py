@@ -46,6 +46,13 @@ def test_truncate(spark, most):
     assert column(spark, texts(), lambda c: X.truncate_bytes(c, most)) == [t if t is None else t.encode()[:most].decode("utf-8", "ignore") for t in texts()]
 
 
+def test_truncate_at_the_stores_limit(spark):
+    """Texts around the limit, each of its bytes inside a character of another width."""
+    most = X.MAX_TEXT_BYTES
+    long = ["x" * (most - k) + ch * 3 for k in range(5) for ch in ("y", "é", "日", "😀")] + ["日" * most, "x" * most]
+    assert column(spark, long, lambda c: X.truncate_bytes(c, most)) == [t.encode()[:most].decode("utf-8", "ignore") for t in long]
+
+
 def test_grams(spark):
     def pairs(t):
         return [t] if len(t) == 1 else [t[i : i + 2] for i in range(len(t) - 1)]
