@@ -17,12 +17,20 @@ instead: a pair that reaches the threshold has one of its rarest n-grams in
 common (prefixes as long as size and threshold ask for), at a place that leaves
 enough behind it.  A template's n-grams are common, so they lie beyond the prefix
 unless the texts are alike by it.
+
+What is joined is many times what is read: postings, prefixes, and a set of
+n-grams for each candidate.  So the joins are done in passes, each over a part of
+the keys; what a pass shuffles is gone before the next.  Candidates are first
+rated by marks, a bit a n-gram hash: an n-gram whose bit the other text hasn't is
+not shared, which leaves out most and never a pair that reaches the threshold.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import tokens as tk
-from lodestack.session import materialize
+from lodestack.session import materialize, release
 
 COORDS = 40
 #: Of 40 coordinates a pair of similarity 0.6 agrees in 14 or more with a
@@ -45,6 +53,14 @@ SKETCH_BITS = (16, 24)
 HOT = 2048
 #: Rows of a class, or of a list of n-grams, one task compares with the others.
 PART = 2048
+#: Words of 64 bits that mark the n-grams of a set.
+MARKS = 16
+#: Postings or candidates one pass joins at least, sets of n-grams one part of them has at least.
+PASS_ROWS, PASS_SETS = 1 << 22, 1 << 17
+#: Passes over the postings, over the rarest n-grams (more if their lists are long), and parts of the sets, at most.
+SLOT_PASSES, GRAM_PASSES, SET_PARTS = 4, 8, 4
+#: Pairs on the lists of a pass for each of its rows; most of them fail by size or place.
+PASS_PAIRS = 1024
 
 _SEED = np.random.default_rng(20240607)
 _A = _SEED.integers(0, 1 << 62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,6 +86,10 @@ def shingle_sets(texts: list, n: int) -> list[np.ndarray]:
     return out
 
 
+_MARKS = [f"m{k}" for k in range(MARKS)]
+_SIGNED = "row_id bigint, k1 bigint, k2 bigint, shingles boolean, sig binary, size int, " + ", ".join(f"{m} bigint" for m in _MARKS)
+
+
 def _sign(n: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,13 +109,18 @@ def _sign(n: int) -> callable:
                         h = (tk.mix(g * _A[c] + _B[c]) >> np.uint64(32)).astype(np.uint32)
                         sig[long, c] = np.minimum.reduceat(h, cut[some[long]])
                 key = np.empty((len(some), 2), np.uint64)
+                size = np.zeros(len(some), np.int32)
+                marks = np.zeros((len(some), MARKS * 64), np.uint8)
                 for k, d in enumerate(some):
                     own = np.unique(g[cut[d] : cut[d + 1]])
+                    size[k] = len(own)
+                    marks[k, (tk.mix(own) % np.uint64(MARKS * 64)).astype(np.int64)] = 1
                     if not len(own):  # too short for an n-gram: only equal tokens are copies
                         own = np.concatenate(([np.uint64(1)], t.hashes[t.starts[d] : t.starts[d + 1]]))
                         own = own * np.arange(1, 2 * len(own), 2, dtype=np.uint64)
                     key[k, 0] = tk.mix(own).sum(dtype=np.uint64)
                     key[k, 1] = tk.mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(own))
+                words = np.packbits(marks, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "row_id": pa.array([ids[i + d] for d in some], pa.int64()),
@@ -103,7 +128,9 @@ def _sign(n: int) -> callable:
                         "k2": pa.array(key[:, 1].view(np.int64)),
                         "shingles": pa.array(np.array([cut[d + 1] > cut[d] for d in some])),
                         "sig": pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDS * 4), len(some), [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary()),
+                        "size": pa.array(size),
                     }
+                    | {m: pa.array(np.ascontiguousarray(words[:, k])) for k, m in enumerate(_MARKS)}
                 )
 
     return run
@@ -139,7 +166,12 @@ class Sketch:
 
 
 def _counted(rows: DataFrame, hashes, bits: int) -> Sketch:
-    """The sketch of the hashes ``hashes(batch)`` gives; its size depends on ``bits`` only."""
+    """The sketch of the hashes ``hashes(batch)`` gives; its size depends on ``bits`` only.
+
+    A task gives its counters at the end, so there are no more tasks than cores.
+    """
+    spark = rows.sparkSession
+    rows = rows.coalesce(max(1, spark.sparkContext.defaultParallelism))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
@@ -151,8 +183,10 @@ def _counted(rows: DataFrame, hashes, bits: int) -> Sketch:
             yield pa.RecordBatch.from_pydict({"slot": pa.array(some[i : i + (1 << 16)]), "n": pa.array(total[some[i : i + (1 << 16)]])})
 
     total = np.zeros(1 << bits, np.int64)
-    for b in rows.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():
+    counted = materialize(rows.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")), "sketch")
+    for b in counted.toArrow().to_batches():
         total[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    release(counted)
     return Sketch(total)
 
 
@@ -242,24 +276,52 @@ def _dealt(a: DataFrame, b: DataFrame, n: Column, part: int = PART) -> tuple[Dat
     return a.withColumn("part", F.pmod(F.xxhash64("row_id"), parts).cast("int")), b.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
 
 
-def exact_candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """``(class_a, class_b)``: every pair of sets (row_id, grams) that may reach the threshold, by prefix, length and place."""
+def _passes(rows: int, most: int) -> int:
+    return max(1, min(most, math.ceil(rows / PASS_ROWS)))
+
+
+def _pass(column: str, k: int, passes: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(passes)) == k
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def exact_candidates(sets: DataFrame, threshold: float, total: int | None = None, rated: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``(class_a, class_b)``: every pair of sets (row_id, grams) that may reach the threshold, by prefix, length and place.
+
+    Pairs may come several times, if there are several passes.  ``total``: the n-grams of all sets, about;
+    ``rated`` leaves pairs out, pass by pass.
+    """
     spark = sets.sparkSession
-    total = sets.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
+    if total is None:
+        total = sets.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
     if not total:
         return spark.createDataFrame([], "class_a bigint, class_b bigint")
     sketch = _counted(sets.select("grams"), lambda b: tk.mix(_lists(b, 0)[0]), sketch_bits(total))
     shared = spark.sparkContext.broadcast(sketch)
     posts = sets.mapInArrow(_rarest(shared, threshold), "gram bigint, n int, row_id bigint, size int, place int, listed boolean")
     posts = materialize(posts, "rarest")
-    a, b = _dealt(posts, posts.where("listed"), F.col("n"))
-    a, b = a.alias("a"), b.alias("b")
     smaller = (F.col("b.size") < F.col("a.size")) | (F.col("b.size") == F.col("a.size")) & (F.col("b.row_id") < F.col("a.row_id"))
     long_enough = F.col("b.size") >= F.lit(threshold) * F.col("a.size") - 1e-9
     left = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
     enough = left >= F.lit(threshold / (1 + threshold)) * (F.col("a.size") + F.col("b.size")) - 1e-6
-    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.part") == F.col("b.part")) & smaller & long_enough & enough)
-    return met.select(F.least("a.row_id", "b.row_id").alias("class_a"), F.greatest("a.row_id", "b.row_id").alias("class_b")).distinct()
+    lists = posts.groupBy("gram").agg(F.count("*").alias("n"), F.count_if("listed").alias("m"))
+    n_posts, n_pairs = lists.agg(F.sum("n"), F.sum(F.col("n") * F.col("m").cast("double"))).first()
+    passes, met = _passes(n_posts, GRAM_PASSES), []
+    passes = max(passes, math.ceil(n_pairs / PASS_PAIRS / max(n_posts / GRAM_PASSES, PASS_ROWS)))
+    for k in range(passes):
+        own = posts.where(_pass("gram", k, passes))
+        a, b = (df.alias(x) for x, df in zip("ab", _dealt(own, own.where("listed"), F.col("n"))))
+        pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.part") == F.col("b.part")) & smaller & long_enough & enough)
+        pairs = pairs.select(F.least("a.row_id", "b.row_id").alias("class_a"), F.greatest("a.row_id", "b.row_id").alias("class_b")).distinct()
+        pairs = materialize(pairs, "exact")
+        met.append(rated(pairs) if rated else pairs)
+        if rated:
+            release(pairs)
+    release(posts)
+    return _union(met)
 
 
 def _agreeing() -> Column:
@@ -274,6 +336,12 @@ def _agreeing() -> Column:
     return total
 
 
+def _most_shared() -> Column:
+    """At most so many n-grams two sets have in common, by their marks: a bit only one of them has stands for one it doesn't share, or more."""
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}.{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{m}")))) for m in _MARKS), F.lit(0))
+    return F.least(F.col("a.size") - only("a", "b"), F.col("b.size") - only("b", "a"))
+
+
 def _sets(n: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,15 +369,16 @@ class NearDuplicates:
         spark = rows.sparkSession
         texts = rows.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("text"))
         texts = texts.where(F.col("row_id").isNotNull() & F.col("text").isNotNull())
-        signed = materialize(texts.mapInArrow(_sign(n), "row_id bigint, k1 bigint, k2 bigint, shingles boolean, sig binary"), "signed")
+        signed = materialize(texts.mapInArrow(_sign(n), _SIGNED), "signed")
         classes = signed.groupBy("k1", "k2", "shingles").agg(F.min("row_id").alias("class_id"))
         self.members = materialize(
             signed.select("row_id", "k1", "k2").join(classes.select("k1", "k2", "class_id"), ["k1", "k2"]).select("row_id", "class_id").distinct(), "members"
         )
         heads = signed.where("shingles").join(classes.where("shingles").select(F.col("class_id"), "k1", "k2"), ["k1", "k2"]).where("row_id = class_id")
-        heads = materialize(heads.select("row_id", "sig").dropDuplicates(["row_id"]), "heads")
+        heads = materialize(heads.select("row_id", "sig", "size", *_MARKS).dropDuplicates(["row_id"]), "heads")
+        release(signed)
 
-        n_heads = heads.count()
+        n_heads, n_grams = heads.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
         bits = sketch_bits(n_heads * COORDS)
         sketch = _counted(heads.select("sig"), lambda b: _slots(_signatures(b, 0)).ravel(), bits)
         shared = spark.sparkContext.broadcast(sketch)
@@ -318,27 +387,59 @@ class NearDuplicates:
             _post(shared, agree, hot + 2 * sketch.usual), "slot bigint, templated boolean, row_id bigint, " + ", ".join(f"{p} bigint" for p in packs)
         )
         posts = materialize(posts, "posts")
-        on_lists = posts.where("slot is not null")
-        a, b = on_lists.alias("a"), on_lists.alias("b")
-        met = a.join(b, (F.col("a.slot") == F.col("b.slot")) & (F.col("a.row_id") < F.col("b.row_id")) & (_agreeing() >= agree))
-        met = met.select(F.col("a.row_id").alias("class_a"), F.col("b.row_id").alias("class_b"))
-        templated = posts.where("templated").select("row_id").distinct()
+        passes, met = _passes(posts.count(), SLOT_PASSES), []
+        for k in range(passes):
+            on_lists = posts.where("slot is not null").where(_pass("slot", k, passes))
+            a, b = on_lists.alias("a"), on_lists.alias("b")
+            pairs = a.join(b, (F.col("a.slot") == F.col("b.slot")) & (F.col("a.row_id") < F.col("b.row_id")) & (_agreeing() >= agree))
+            met.append(materialize(pairs.select(F.col("a.row_id").alias("class_a"), F.col("b.row_id").alias("class_b")).distinct(), "met"))
+        templated = materialize(posts.where("templated").select("row_id").distinct(), "ids")
+        release(posts)
+        rated = functools.partial(self._marked, heads=heads, n_heads=n_heads, threshold=threshold)
+        found = [rated(_union(met))]
+        release(*met)
         if not templated.isEmpty():
-            own = texts.join(templated, "row_id", "left_semi").dropDuplicates(["row_id"]).mapInArrow(_sets(n), "row_id bigint, grams array<bigint>")
-            met = met.unionByName(exact_candidates(materialize(own, "templated"), threshold))
-        self.candidates = candidates = materialize(met.distinct(), "candidates")
+            own = materialize(texts.join(templated, "row_id", "left_semi").dropDuplicates(["row_id"]), "templated")
+            found.append(exact_candidates(own.mapInArrow(_sets(n), "row_id bigint, grams array<bigint>"), threshold, n_grams, rated))
+            release(own)
+        self.candidates = materialize(_union(found).distinct(), "candidates")
+        release(heads)
+        self.links = self._linked(texts, n, threshold)
 
-        wanted = candidates.select(F.explode(F.array("class_a", "class_b")).alias("row_id")).distinct()
+    @staticmethod
+    def _marked(pairs: DataFrame, heads: DataFrame, n_heads: int, threshold: float) -> DataFrame:
+        """The pairs that may reach the threshold by their sizes and marks, in passes of about as many pairs as there are classes."""
+        passes, out = max(1, math.ceil(pairs.count() / max(n_heads, PASS_ROWS))), []
+        marks = heads.select("row_id", "size", *_MARKS)
+        enough = _most_shared() >= F.lit(threshold / (1 + threshold)) * (F.col("a.size") + F.col("b.size")) - 1e-6
+        for k in range(passes):
+            own = pairs.where(F.pmod(F.xxhash64("class_a", "class_b"), F.lit(passes)) == k)
+            rated = own.join(marks.alias("a"), F.col("class_a") == F.col("a.row_id")).join(marks.alias("b"), F.col("class_b") == F.col("b.row_id"))
+            out.append(materialize(rated.where(enough).select("class_a", "class_b"), "rated"))
+        return _union(out)
+
+    def _linked(self, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+        """The candidates whose sets reach the threshold; the sets lie in parts, and each part meets each."""
+        wanted = materialize(self.candidates.select(F.explode(F.array("class_a", "class_b")).alias("row_id")).distinct(), "wanted")
+        parts = max(1, min(SET_PARTS, math.ceil(wanted.count() / PASS_SETS)))
+        part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
         sets = texts.join(wanted, "row_id", "left_semi").dropDuplicates(["row_id"]).mapInArrow(_sets(n), "row_id bigint, grams array<bigint>")
-        sets = materialize(sets, "sets")
+        sets = materialize(sets.withColumn("part", part("row_id")), "sets", by="part")
         both = F.size(F.array_intersect("grams_a", "grams_b"))
-        checked = (
-            candidates.join(sets.select(F.col("row_id").alias("class_a"), F.col("grams").alias("grams_a")), "class_a")
-            .join(sets.select(F.col("row_id").alias("class_b"), F.col("grams").alias("grams_b")), "class_b")
-            .withColumn("both", both)
-            .withColumn("similarity", F.col("both") / (F.size("grams_a") + F.size("grams_b") - F.col("both")))
-        )
-        self.links = materialize(checked.where(F.col("similarity") >= threshold).select("class_a", "class_b", "similarity"), "links")
+        out = []
+        for i, j in itertools.product(range(parts), repeat=2):
+            a = sets.where(F.col("part") == i).select(F.col("row_id").alias("class_a"), F.col("grams").alias("grams_a"))
+            b = sets.where(F.col("part") == j).select(F.col("row_id").alias("class_b"), F.col("grams").alias("grams_b"))
+            checked = (
+                self.candidates.where((part("class_a") == i) & (part("class_b") == j))
+                .join(a, "class_a")
+                .join(b, "class_b")
+                .withColumn("both", both)
+                .withColumn("similarity", F.col("both") / (F.size("grams_a") + F.size("grams_b") - F.col("both")))
+            )
+            out.append(materialize(checked.where(F.col("similarity") >= threshold).select("class_a", "class_b", "similarity"), "links"))
+        release(sets, wanted)
+        return _union(out)
 
     def row_pairs(self) -> DataFrame:
         """``(row_a, row_b)``: all rows of one class, and of linked classes, in pairs.

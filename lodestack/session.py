@@ -5,11 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
 _written: list = []
+_path_of: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+#: Shuffle files go as soon as what was asked is done; else they stay until the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str | int = "*", app: str = "lodestack", memory: str = "8g") -> SparkSession:
@@ -59,16 +63,34 @@ def work_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; ``by``: a folder for each value of that column.
 
     Cuts the lineage, so nothing is computed twice and a lost executor costs
-    no more than the tasks it was running.
+    no more than the tasks it was running.  Its shuffle files are removed.
     """
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        write = df.write.option("compression", "zstd")
+        (write.partitionBy(by) if by else write).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove what ``materialize`` wrote and nobody reads any more."""
+    for df in tables:
+        if (path := _path_of.pop(df, None)) is not None:
+            remove_path(df.sparkSession, path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -144,3 +144,27 @@ def test_components(spark):
     got = {r.node: r.group_id for r in nd.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(51)} | {100: 100, 200: 100, 300: 100, 400: 400, 401: 400}
     assert nd.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_disk(spark, monkeypatch):
+    """Passes change no link, few candidates are left to check, and neither shuffles nor tables of earlier steps lie about."""
+    from pathlib import Path
+
+    from lodestack import session
+
+    rows = template(3000)
+    whole = {(r.class_a, r.class_b) for r in nd.NearDuplicates(frame(spark, rows), n=4, threshold=0.6, hot=256).links.collect()}
+    monkeypatch.setattr(nd, "PASS_ROWS", 20_000)
+    monkeypatch.setattr(nd, "PASS_SETS", 100)
+    monkeypatch.setattr(nd, "PASS_PAIRS", 2)
+    blocks, labels = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), []
+    write = nd.materialize
+    monkeypatch.setattr(nd, "materialize", lambda df, label, **k: labels.append(label) or write(df, label, **k))
+    before, files = set(session._path_of.values()), blocks.getAllFiles().size()
+    got = nd.NearDuplicates(frame(spark, rows), n=4, threshold=0.6, hot=256)
+    assert {(r.class_a, r.class_b) for r in got.links.collect()} == whole and len(whole) >= 300
+    assert labels.count("met") > 1 and labels.count("exact") > 1 and labels.count("links") > 1
+    assert got.candidates.count() < 2 * len(whole)
+    left = {p.rpartition("/")[2].partition("-")[0] for p in set(session._path_of.values()) - before if Path(p.removeprefix("file://")).exists()}
+    assert not left & {"signed", "heads", "posts", "met", "sketch", "templated", "rarest", "exact", "sets"}
+    assert blocks.getAllFiles().size() < files + 100
