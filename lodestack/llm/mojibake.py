@@ -36,8 +36,6 @@ from lodestack.llm.forms import canonical_text, forms
 from lodestack.llm.tokens import slices
 from lodestack.session import materialize
 
-#: Labelled clean rows the bigrams are counted over at most.
-TRAIN_ROWS = 4000
 #: Bigrams rarer than this make a run worth looking at.
 SUSPECT = -7.5
 LIMIT = 0x30000
@@ -114,21 +112,60 @@ def _foreign(run: str) -> int:
     return 0 if run.isascii() else sum(m[0] not in forms().twins for m in _SEAM.finditer(run))
 
 
+def _fixed(i: int) -> str | None:
+    """The class of a code point that is never a symbol by itself."""
+    if 0x4E00 <= i <= 0x9FFF:
+        return _han_class(i)
+    if 0x3400 <= i < 0x4E00 or 0xA000 <= i < 0xE000 or i >= 0x20000:
+        return "rare_han" if i < 0xD800 or i >= 0x20000 else "control"
+    return None
+
+
+_FIXED = [_fixed(i) for i in range(LIMIT + 1)]
+#: The first code point of its class, for those that are never symbols.
+_FOLD = np.arange(LIMIT + 1)
+for _name in {c for c in _FIXED if c}:
+    _same = [i for i, c in enumerate(_FIXED) if c == _name]
+    _FOLD[_same] = _same[0]
+
+
+def count_pairs(texts: list[str], into: Counter[tuple[int, int]] | None = None) -> Counter[tuple[int, int]]:
+    """How often two code points follow one another, a text between spaces; with -1: that a letter occurs in lower case."""
+    out = Counter() if into is None else into
+    for i, j in slices(texts):
+        part = [np.minimum(np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), np.uint32), LIMIT) for t in texts[i:j]]
+        if not part:
+            continue
+        code, n = np.unique(np.concatenate([_FOLD[r[:-1]] << 18 | _FOLD[r[1:]] for r in part]), return_counts=True)
+        for k, m in zip(code.tolist(), n.tolist()):
+            out[k >> 18, k & (1 << 18) - 1] += m
+        for c in set().union(*(t.lower() for t in texts[i:j])):
+            if not "0" <= c <= "9" and ord(c) < LIMIT and _FIXED[ord(c)] is None:
+                out[ord(c), -1] = 1
+    return out
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter[tuple[int, int]] = Counter()
+    for batch in batches:
+        count_pairs(batch.column(0).to_pylist(), counts)
+    cols = [pa.array([a for a, _ in counts], pa.int32()), pa.array([b for _, b in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())]
+    yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "n"])
+
+
 class Language:
-    """Log probabilities of character pairs, case apart, counted over clean text."""
+    """Log probabilities of character pairs, case apart, counted over clean text: the texts, or what ``count_pairs`` gives of them."""
 
-    def __init__(self, texts: list[str]):
-        uni: Counter[str] = Counter()
-        for t in texts:
-            uni.update(re.sub(r"[0-9]", "0", t.lower()))
-        known = sorted(c for c, n in uni.items() if not 0x4E00 <= ord(c) <= 0x9FFF and c != "0")
+    def __init__(self, texts: list[str] | Counter[tuple[int, int]]):
+        pairs = texts if isinstance(texts, Counter) else count_pairs(texts)
+        known = sorted(chr(a) for a, b in pairs if b < 0)
         base = len(_CLASSES)
         self.size = base + len(known)
         self.letters = {c: base + k for k, c in enumerate(known)}
         sym = np.empty(LIMIT + 1, np.int16)
         for i in range(LIMIT + 1):
-            if 0x3400 <= i < 0x4E00 or 0xA000 <= i < 0xE000 or i >= 0x20000:
-                sym[i] = _CLASS["rare_han" if i < 0xD800 or i >= 0x20000 else "control"]
+            if _FIXED[i] is not None:
+                sym[i] = _CLASS[_FIXED[i]]
                 continue
             low = chr(i).lower()
             sym[i] = self.letters.get(low, -1) if len(low) == 1 else -1
@@ -136,9 +173,8 @@ class Language:
                 sym[i] = _CLASS[_class_of(i)]
         self.sym = sym
         counts = np.zeros((self.size, self.size))
-        for t in texts:
-            s = sym[np.minimum(np.frombuffer((" " + t + " ").encode("utf-32-le"), np.uint32), LIMIT)]
-            np.add.at(counts, (s[:-1], s[1:]), 1)
+        of = np.array([(a, b, n) for (a, b), n in pairs.items() if b >= 0], np.int64).reshape(-1, 3)
+        np.add.at(counts, (sym[of[:, 0]], sym[of[:, 1]]), of[:, 2])
         n = counts.sum(0)
         self.share = (n + 0.3) / (n + 0.3).sum()  # of each symbol
         self.adjust = np.zeros(LIMIT + 1, np.float32)
@@ -582,16 +618,16 @@ def _break_open(shared) -> callable:
     return run
 
 
-def learn(rows: DataFrame, samples: DataFrame, limit: int = TRAIN_ROWS) -> Reader:
+def learn(rows: DataFrame, samples: DataFrame) -> Reader:
     """A reader fitted to the garbled runs of ``rows`` (src_field, rec_id, text, maybe source).
 
-    ``samples`` (sample_id, text) is clean text; at most ``limit`` rows of it, by a
-    hash of their id, give the bigrams.  Shares, tables and the familiarity of Han
-    cover all of ``rows``.  ``source`` says where a row comes from (a folder, a
+    ``samples`` (text) is clean text; all of its rows give the bigrams.  Shares,
+    tables and the familiarity of Han cover all of ``rows``.  ``source`` says where a row comes from (a folder, a
     device); without it all rows are one source.
     """
-    clean = samples.where(F.length("text") > 0).orderBy(F.xxhash64("sample_id"), "sample_id", "text").limit(limit).select("text").collect()
-    language = Language([r.text for r in clean])
+    pairs_of = samples.where(F.length("text") > 0).select("text").mapInArrow(_count_pairs, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    of = pairs_of.toArrow()  # at most the square of the letters that occur
+    language = Language(Counter(dict(zip(zip(of["a"].to_pylist(), of["b"].to_pylist()), of["n"].to_pylist()))))
     shared = rows.sparkSession.sparkContext.broadcast(language)
     counted = _with_source(rows).mapInArrow(_gather(shared), _COUNTED)
     # a run that occurs often supports its source once; pairs keep their counts

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from lodestack.llm import ciphers, codepages, mojibake
 
@@ -138,3 +139,17 @@ def test_what_is_lost_is_marked(spark, lang):
     assert set(out) == {1, 2, 5}
     assert out[1].restored == "the summary �for� Kabema" and out[1].n_lost == 2
     assert out[2].restored.startswith("契約テリ�") and out[2].n_lost == 1 and out[5].restored == "café"
+
+
+def test_all_samples_count(spark, samples):
+    """The bigrams come from every row of the samples, however many there are, and are those of the texts in one piece."""
+    texts = [t for *_, t in samples] + [f"line {k} of many" for k in range(4500)] + [f"{'ж' * (k % 5)}ук ŵ 한글 İ 㐀" for k in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "sample_id int, text string").repartition(7)
+    got = mojibake.learn(spark.createDataFrame([], ROWS), df).language
+    want = mojibake.Language(texts)
+    assert got.letters == want.letters and {"ж", "ŵ"} <= set(got.letters)
+    assert (got.table == want.table).all() and (got.share == want.share).all()
+    pair = [got.letters["l"], got.letters["i"]]
+    counted = sum((" " + t + " ").count("l") for t in texts), sum(t.count("li") for t in texts)
+    few = mojibake.Language(texts[:400])
+    assert counted[0] > 4500 and abs(got.table[pair[0], pair[1]] - np.log(counted[1] / counted[0])) < 0.05 < abs(few.table[few.letters["l"], few.letters["i"]] - got.table[pair[0], pair[1]])
